@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from strandline.llm.langid import op3_language
 from strandline.llm.media import op2_media
 from strandline.llm.token_counts import op4_token_counts
 from strandline.llm.token_files import op5_token_files
+from strandline.llm.toxicity import op7_toxicity
 
 
 def queries() -> dict:
     return {
         "op2_media": op2_media,
+        "op3_language": op3_language,
         "op4_token_counts": op4_token_counts,
         "op5_token_files": op5_token_files,
+        "op7_toxicity": op7_toxicity,
     }
 
 
