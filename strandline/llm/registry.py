@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strandline.llm.chat import op1_chat
 from strandline.llm.langid import op3_language
 from strandline.llm.media import op2_media
 from strandline.llm.token_counts import op4_token_counts
@@ -11,6 +12,7 @@ from strandline.llm.toxicity import op7_toxicity
 
 def queries() -> dict:
     return {
+        "op1_chat": op1_chat,
         "op2_media": op2_media,
         "op3_language": op3_language,
         "op4_token_counts": op4_token_counts,
