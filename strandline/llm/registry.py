@@ -5,6 +5,7 @@ from __future__ import annotations
 from strandline.llm.chat import op1_chat
 from strandline.llm.langid import op3_language
 from strandline.llm.media import op2_media
+from strandline.llm.mixing import OP6_SQL, op6_mixing
 from strandline.llm.token_counts import op4_token_counts
 from strandline.llm.token_files import op5_token_files
 from strandline.llm.toxicity import op7_toxicity
@@ -17,9 +18,10 @@ def queries() -> dict:
         "op3_language": op3_language,
         "op4_token_counts": op4_token_counts,
         "op5_token_files": op5_token_files,
+        "op6_mixing": op6_mixing,
         "op7_toxicity": op7_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": OP6_SQL}
