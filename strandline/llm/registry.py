@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strandline.llm.chat import op1_chat
+from strandline.llm.decontaminate import op10_decontamination
 from strandline.llm.langid import op3_language
 from strandline.llm.media import op2_media
 from strandline.llm.mixing import OP6_SQL, op6_mixing
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op5_token_files": op5_token_files,
         "op6_mixing": op6_mixing,
         "op7_toxicity": op7_toxicity,
+        "op10_decontamination": op10_decontamination,
     }
 
 
