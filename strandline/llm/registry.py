@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from strandline.llm.chat import op1_chat
 from strandline.llm.decontaminate import op10_decontamination
+from strandline.llm.jaccard_join import op8_jaccard_join
 from strandline.llm.langid import op3_language
 from strandline.llm.line_dedup import op9_line_dedup
 from strandline.llm.media import op2_media
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op5_token_files": op5_token_files,
         "op6_mixing": op6_mixing,
         "op7_toxicity": op7_toxicity,
+        "op8_jaccard_join": op8_jaccard_join,
         "op9_line_dedup": op9_line_dedup,
         "op10_decontamination": op10_decontamination,
     }
