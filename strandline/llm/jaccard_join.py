@@ -247,30 +247,25 @@ def _links_batch(emit: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in columns], names=["c", "root", "links", "documents"])
 
 
-def jaccard_join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
-    """Near copies by Jaccard similarity of five-word shingles.
+_LEAST_KEY = -(1 << 63)
 
-    Result, a row for each input row: the key, ``class_id`` (the least key of
-    all documents connected with it by links), ``set_id`` (the least key of
-    the documents with an equal set), ``n_links`` (other documents at the
-    threshold or above), ``n_set_links`` (other sets at the threshold or
-    above).  Links between copies are counted, not listed.
 
-    Null and empty texts have the empty set and are copies of each other; a
-    text of fewer than five words is one shingle.  A null key counts as the
-    least key there is, and stays null as a ``class_id``.
-    """
-    least_key = F.lit(-(1 << 63))
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = pick(df, key, text).select(F.coalesce(F.col(key).cast("long"), least_key).alias("k"), F.xxhash64(t).alias("h"), t.alias("t"))
+def _with_place(rows: DataFrame, text: str, key: str) -> DataFrame:
+    """Rows with k and h: a document is its key (null: the least there is) and its text's hash."""
+    return rows.withColumns({"k": F.coalesce(F.col(key).cast("long"), F.lit(_LEAST_KEY)), "h": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+
+
+def _joined(df: DataFrame, text: str, key: str, threshold: float, recall: float) -> DataFrame:
+    """Each document k, h with its class's first document, its set's key and its links."""
+    rows = _with_place(pick(df, key, text), text, key).select("k", "h", F.coalesce(F.col(text), F.lit("")).alias("t"))
     documents = written(_embedded(rows, runs_needed(recall)), "join-documents")
     classes = written(documents.groupBy("c").agg(F.min(F.struct("k", "h")).alias("rep"), F.count("*").alias("m")).select("c", "rep.*", "m"), "join-classes")
 
     in_bucket = documents.where("tokens is not null").select("c", F.explode("buckets").alias("bucket"))
     # Hubs are the bucket's least and greatest class, so nothing gathers a bucket.
     hubs = in_bucket.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-    tied = in_bucket.join(hubs, "bucket").select("c", F.explode(F.array("low", "high")).alias("hub")).where("c <> hub").select(F.greatest("c", "hub").alias("u"), F.least("c", "hub").alias("v")).distinct()
-    tied = written(tied, "join-tied")
+    tied = in_bucket.join(hubs, "bucket").select("c", F.explode(F.array("low", "high")).alias("hub")).where("c <> hub")
+    tied = written(tied.select(F.greatest("c", "hub").alias("u"), F.least("c", "hub").alias("v")).distinct(), "join-tied")
     # One document of each class brings the tokens, the same one that brings the text.
     tokens = documents.where("tokens is not null").join(classes.select("k", "h"), ["k", "h"], "left_semi").groupBy("c").agg(F.first("tokens").alias("tokens"))
     groups = written(components(_agreeing(tied, tokens, AGREEMENT)), "join-groups")
@@ -283,16 +278,45 @@ def jaccard_join(df: DataFrame, text: str = "text", key: str = "doc_id", thresho
     counts = found.groupBy("c").agg(F.sum("links").alias("links"), F.sum("documents").alias("documents"))
     connected = components(found.select(F.col("c").alias("u"), F.col("root").alias("v"))).toDF("c", "root")
     labelled = classes.join(connected, "c", "left").join(counts, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    least = labelled.groupBy("root").agg(F.min("k").alias("class_id"))
-    answer = labelled.join(least, "root").select(
+    first = labelled.groupBy("root").agg(F.min(F.struct("k", "h")).alias("first"))
+    answer = labelled.join(first, "root").select(
         "c",
-        "class_id",
+        "first",
         F.col("k").alias("set_id"),
         (F.coalesce("documents", F.lit(0)) + F.col("m") - 1).alias("n_links"),
         F.coalesce("links", F.lit(0)).alias("n_set_links"),
     )
-    back = lambda c: F.nullif(F.col(c), least_key).alias(key if c == "k" else c)
-    return documents.select("k", "c").join(answer, "c").select(back("k"), back("class_id"), back("set_id"), "n_links", "n_set_links")
+    return documents.select("k", "h", "c").join(answer, "c")
+
+
+def jaccard_join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
+    """Near copies by Jaccard similarity of five-word shingles.
+
+    Result, a row for each input row: the key, ``class_id`` (the least key of
+    all documents connected with it by links), ``set_id`` (the least key of
+    the documents with an equal set), ``n_links`` (other documents at the
+    threshold or above), ``n_set_links`` (other sets at the threshold or
+    above).  Links between copies are counted, not listed.
+
+    Null and empty texts have the empty set and are copies of each other; a
+    text of fewer than five words is one shingle.  A null key counts as the
+    least key there is, and stays null as a ``class_id``.  Repeated rows are
+    copies.
+    """
+    found = _joined(df, text, key, threshold, recall)
+    back = lambda c: F.nullif(c, F.lit(_LEAST_KEY))
+    return found.select(back(F.col("k")).alias(key), back(F.col("first.k")).alias("class_id"), back(F.col("set_id")).alias("set_id"), "n_links", "n_set_links")
+
+
+def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
+    """The rows of ``df`` with one document of each near-copy class: that of the least key.
+
+    Among documents of that key in the class the one with the least text hash
+    stays; a repeated row stays once.  Documents without links all stay.
+    """
+    found = _joined(df, text, key, threshold, recall)
+    stay = found.where((F.col("k") == F.col("first.k")) & (F.col("h") == F.col("first.h"))).select("k", "h")
+    return _with_place(df, text, key).join(stay, ["k", "h"], "left_semi").dropDuplicates(["k", "h"]).drop("k", "h")
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

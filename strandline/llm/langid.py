@@ -94,7 +94,8 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
     letter is ``und`` with score 0 and rejected; on equal sizes the first
     language by code point is given, and rejected for its narrow margin.
     """
-    rows = pick(df, text, *keep)
+    rows = pick(df, text, *[k for k in keep if k != text])
+    passed = [rows.columns.index(k) for k in keep]
     spread = rows.sparkSession.sparkContext.broadcast(dictionaries)
 
     def predict(batches):
@@ -104,7 +105,7 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
                 found = [classifier.classify(t) for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *part.columns[1:],
+                        *[part.column(i) for i in passed],
                         pa.array([l for l, _, _ in found], pa.string()),
                         pa.array([s for _, s, _ in found], pa.float64()),
                         pa.array([l == UNKNOWN or m < min_margin for l, _, m in found], pa.bool_()),
@@ -112,7 +113,7 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
                     names=[*keep, "lang_pred", "score", "rejected"],
                 )
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
     return rows.mapInArrow(predict, f"{kept}, lang_pred string, score double, rejected boolean")
 
 

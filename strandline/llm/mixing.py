@@ -16,6 +16,8 @@ from strandline.llm._common import pick, table, written
 
 #: Targets are worked out on the driver; more sources than this are an error.
 MAX_SOURCES = 1_000_000
+#: A plan of at most so many sources (some 10 MB) is broadcast to the documents.
+BROADCAST_SOURCES = 100_000
 SEED = 17
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -72,56 +74,82 @@ def plan_sources(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs
     return [(r.s, size, target) for r, size, target in zip(found, sizes, targets, strict=True)]
 
 
-def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
-    """How often the mix takes each document.
+def _sized(rows: DataFrame, text: str, source: str, key: str, seed: int) -> DataFrame:
+    rows = rows.select("*", F.col(key).alias("k"), F.col(source).alias("s"), words(F.col(text)).alias("n"))
+    return rows.withColumn("o", _order(seed))
 
-    Result, a row for each input row: the key, ``size`` (words), ``source_size``,
-    ``target`` (its source's), ``times`` and ``taken`` (words, repeats counted).
 
-    Beyond whole epochs, documents are taken in the seeded order while the
-    words so far, half of the document's included, stay within the fraction of
-    the source; so a source misses its target by half a document at most.  The
-    order depends on the seed and the id only; rows with the same id stand in
-    the order of their size and, where that is equal too, are taken alike or
-    in any order.  Null text has size 0, null source is a source.
+def mix_plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
+    """For each source: size, target, whole repetitions, and the last document of the fraction.
+
+    ``sized`` has columns s (source), n (words) and o (place in the order).
     """
-    rows = pick(df, key, text, source)
-    sized = rows.select(F.col(key).alias("k"), F.col(source).alias("s"), words(F.col(text)).alias("n"))
-    sized = written(sized.withColumn("o", _order(seed)), "mix-sizes")
-    spark = df.sparkSession
+    spark = sized.sparkSession
+    targets = plan_sources(sized, weights, share, epochs)
     planned = spark.createDataFrame(
-        [(s, size, target, int(target // size) if size else 0) for s, size, target in plan_sources(sized, weights, share, epochs)],
-        "s string, source_size long, target double, whole int",
+        [(s, size, target, int(target // size) if size else 0) for s, size, target in targets],
+        "es string, source_size long, target double, whole int",
     ).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
+    near = F.broadcast if len(targets) <= BROADCAST_SOURCES else lambda frame: frame
+    same = F.col("s").eqNullSafe(F.col("es"))
     # Words before the last bucket, found by _BITS bits of the order at a time:
     # sums by source and bucket, so no source is ever gathered in one task.
     edge = planned.withColumns({"before": F.lit(0).cast("long"), "prefix": F.lit(0).cast("long")})
     for step in range(_STEPS):
         shift = 60 - _BITS * (step + 1)
-        bucket = F.shiftright("o", shift)
-        inside = sized.join(edge.select(F.col("s").alias("es"), "prefix"), F.col("s").eqNullSafe(F.col("es"))).where(F.shiftright("o", shift + _BITS) == F.col("prefix"))
-        sums = inside.groupBy("s", bucket.alias("b")).agg(F.sum("n").alias("n"))
+        inside = sized.join(near(edge.select("es", "prefix")), same).where(F.shiftright("o", shift + _BITS) == F.col("prefix"))
+        sums = inside.groupBy("s", F.shiftright("o", shift).alias("b")).agg(F.sum("n").alias("n"))
         upto = F.sum("n").over(W.partitionBy("s").orderBy("b").rowsBetween(W.unboundedPreceding, 0))
-        reached = sums.withColumn("upto", upto).join(edge.select(F.col("s").alias("es"), "extra", "before"), F.col("s").eqNullSafe(F.col("es")))
+        reached = sums.withColumn("upto", upto).join(near(edge.select("es", "extra", "before")), same)
         # The bucket where the fraction ends; where rounding leaves none, the last.
+        here = F.struct("b", (F.col("before") + F.col("upto") - F.col("n")).alias("x"))
         ended = reached.groupBy("s").agg(
-            F.min_by(F.struct("b", (F.col("before") + F.col("upto") - F.col("n")).alias("x")), F.when(F.col("before") + F.col("upto") >= F.col("extra"), F.col("b"))).alias("hit"),
-            F.max_by(F.struct("b", (F.col("before") + F.col("upto") - F.col("n")).alias("x")), F.col("b")).alias("last"),
+            F.min_by(here, F.when(F.col("before") + F.col("upto") >= F.col("extra"), F.col("b"))).alias("hit"),
+            F.max_by(here, F.col("b")).alias("last"),
         )
-        at = F.coalesce("hit", "last")
-        edge = planned.join(ended.select(F.col("s").alias("es"), at.alias("at")), F.col("s").eqNullSafe(F.col("es")), "left").drop("es")
+        edge = planned.join(near(ended.select("s", F.coalesce("hit", "last").alias("at"))), same, "left").drop("s")
         edge = written(edge.withColumns({"before": F.coalesce("at.x", F.lit(0)).cast("long"), "prefix": F.coalesce("at.b", F.lit(0)).cast("long")}).drop("at"), "mix-edges")
-    low = 60 - _BITS * _STEPS
-    joined = sized.join(edge.withColumnRenamed("s", "es"), F.col("s").eqNullSafe(F.col("es"))).drop("es")
-    place = F.shiftright("o", low)
     # Only the last bucket's documents, a source's 65,536th part, need an order.
-    inner = joined.where(place == F.col("prefix"))
+    low = 60 - _BITS * _STEPS
+    inner = sized.join(near(edge.select("es", "prefix", "before", "extra")), same).where(F.shiftright("o", low) == F.col("prefix"))
     running = F.sum("n").over(W.partitionBy("s").orderBy("o", "n").rowsBetween(W.unboundedPreceding, 0))
-    inner = inner.withColumn("more", F.col("before") + running - F.col("n") + F.col("n") / 2 <= F.col("extra"))
-    outer = joined.where(place != F.col("prefix")).withColumn("more", place < F.col("prefix"))
-    both = inner.unionByName(outer)
-    times = F.col("whole") + (F.col("more") & (F.col("extra") > 0) & (F.col("n") > 0)).cast("int")
-    return both.select(F.col("k").alias(key), F.col("n").alias("size"), "source_size", "target", times.alias("times"), (F.col("n") * times).alias("taken"))
+    inner = inner.withColumn("upto", running).where(F.col("before") + F.col("upto") - F.col("n") / 2 <= F.col("extra"))
+    cut = inner.groupBy("s").agg(F.max(F.struct("o", "n")).alias("cut"))
+    before_all = F.struct((F.shiftleft("prefix", low) - 1).alias("o"), F.lit(2**62).alias("n"))
+    out = edge.join(near(cut), same, "left").withColumn("cut", F.coalesce("cut", before_all)).select("es", "source_size", "target", "whole", "extra", "cut")
+    return near(written(out, "mix-plan"))
+
+
+def _times(planned: DataFrame) -> DataFrame:
+    more = (F.struct("o", "n") <= F.col("cut")) & (F.col("extra") > 0) & (F.col("n") > 0)
+    return planned.withColumn("times", F.col("whole") + more.cast("int"))
+
+
+def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
+    """How often the mix takes each document.
+
+    Result, a row for each input row: the key, ``size`` (words), ``source_size``,
+    ``target`` (its source's), ``times`` and ``taken`` (words, repeats counted).
+
+    Beyond whole epochs, documents are taken in the seeded order while the
+    words so far, half of the document's included, stay within the fraction of
+    the source; so a source misses its target by half a document at most.  The
+    order depends on the seed and the id only; rows with the same id stand in
+    the order of their size, and repeated rows are taken alike.  Null text has
+    size 0 and is never repeated; null source is a source, the last.
+    """
+    sized = written(_sized(pick(df, key, text, source), text, source, key, seed).select("k", "s", "n", "o"), "mix-sizes")
+    planned = sized.join(mix_plan(sized, weights, share, epochs), F.col("s").eqNullSafe(F.col("es")))
+    return _times(planned).select(F.col("k").alias(key), F.col("n").alias("size"), "source_size", "target", "times", (F.col("n") * F.col("times")).alias("taken"))
+
+
+def mixed_rows(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
+    """The rows of ``df``, each as many times as the mix takes it; see ``mix``."""
+    sized = written(_sized(pick(df, key, text, source), text, source, key, seed).select("k", "s", "n", "o"), "mix-sizes")
+    plan = mix_plan(sized, weights, share, epochs)
+    columns = df.columns
+    planned = _times(_sized(df, text, source, key, seed).join(plan, F.col("s").eqNullSafe(F.col("es"))))
+    return planned.withColumn("nth", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select(*columns)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
