@@ -21,8 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns by exact spelling, even where others differ only by case."""
     columns = df.columns
-    numbered = df.toDF(*[f"_c{i}" for i in range(len(columns))])
-    return numbered.select(*[F.col(f"_c{columns.index(n)}").alias(n) for n in names])
+    return numbered(df).select(*[F.col(f"_c{columns.index(n)}").alias(n) for n in names])
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """Columns renamed to _c0, _c1, ...: nothing that an operator adds can clash with them."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+
+
+def restored(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The numbered columns under their own names again, and no others."""
+    return df.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._common import pick, steps, table, written
+from strandline.llm._common import numbered, pick, restored, steps, table, written
 from strandline.llm.components import components
 
 WORDS = 5
@@ -316,7 +316,9 @@ def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", threshol
     """
     found = _joined(df, text, key, threshold, recall)
     stay = found.where((F.col("k") == F.col("first.k")) & (F.col("h") == F.col("first.h"))).select("k", "h")
-    return _with_place(df, text, key).join(stay, ["k", "h"], "left_semi").dropDuplicates(["k", "h"]).drop("k", "h")
+    columns = df.columns
+    rows = _with_place(numbered(df), f"_c{columns.index(text)}", f"_c{columns.index(key)}")
+    return restored(rows.join(stay, ["k", "h"], "left_semi").dropDuplicates(["k", "h"]), columns)
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -94,6 +94,8 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
     letter is ``und`` with score 0 and rejected; on equal sizes the first
     language by code point is given, and rejected for its narrow margin.
     """
+    if clash := {"lang_pred", "score", "rejected"} & set(keep):
+        raise ValueError(f"columns of the result are asked for as input: {sorted(clash)}")
     rows = pick(df, text, *[k for k in keep if k != text])
     passed = [rows.columns.index(k) for k in keep]
     spread = rows.sparkSession.sparkContext.broadcast(dictionaries)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.llm._common import pick, table, written
+from strandline.llm._common import numbered, pick, restored, table, written
 
 #: Targets are worked out on the driver; more sources than this are an error.
 MAX_SOURCES = 1_000_000
@@ -148,8 +148,9 @@ def mixed_rows(df: DataFrame, text: str = "text", source: str = "source", key: s
     sized = written(_sized(pick(df, key, text, source), text, source, key, seed).select("k", "s", "n", "o"), "mix-sizes")
     plan = mix_plan(sized, weights, share, epochs)
     columns = df.columns
-    planned = _times(_sized(df, text, source, key, seed).join(plan, F.col("s").eqNullSafe(F.col("es"))))
-    return planned.withColumn("nth", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select(*columns)
+    own = [f"_c{columns.index(c)}" for c in (text, source, key)]
+    planned = _times(_sized(numbered(df), *own, seed).join(plan, F.col("s").eqNullSafe(F.col("es"))))
+    return restored(planned.withColumn("nth", F.explode(F.array_repeat(F.lit(1), F.col("times")))), columns)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
