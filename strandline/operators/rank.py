@@ -46,7 +46,9 @@ def ranked(frame: OrderedFrame, c: str, method: str, na_option: str, ascending:
     kept = na_option == "keep"
     if pct:
         if method == "dense":
-            total = F.size(F.collect_set(x).over(parts)) + (0 if kept else F.max(x.isNull().cast("int")).over(parts))
+            # A value's dense ranks from both ends add up to the number of values and one.
+            mirror = "keep" if kept else {"top": "bottom", "bottom": "top"}[na_option]
+            total = value + F.dense_rank().over(parts.orderBy(_ordered(x, not ascending, mirror))) - 1
         else:
             total = (F.count(x) if kept else F.count(F.lit(1))).over(parts)
         value = divided(value, total.cast("double"))

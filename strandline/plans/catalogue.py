@@ -200,9 +200,37 @@ _add(
     lambda s, d: _shown(_events(s, d, F.col("value")).ewm(span=8, adjust=False).mean(), "event_id"),
     f"WITH RECURSIVE ev AS (SELECT event_id, user_id, value AS x, row_number() OVER ({_OVER}) AS rn FROM events), r AS (SELECT event_id, user_id, rn, x AS y FROM ev WHERE rn = 1 UNION ALL SELECT ev.event_id, ev.user_id, ev.rn, 2.0::DOUBLE / 9 * ev.x + (1 - 2.0::DOUBLE / 9) * r.y FROM r JOIN ev ON ev.user_id = r.user_id AND ev.rn = r.rn + 1) SELECT event_id, round((y) + 3.1e-8, 6) AS x FROM r",
 )
-for _name in ("var", "std"):
-    _add(f"ewm_{_name}_adjust_false", _ewm(_name, adjust=False), None)
-_add("ewm_mean_adjust_false_ignore_na", _ewm("mean", adjust=False, ignore_na=True), None)
+
+
+def _ewm_steps_sql(kind: str, ignore_na: bool) -> str:
+    """The unadjusted recurrence row by row: mean, variance and the three sums of weights."""
+    a, r = "(2.0::DOUBLE / 9)", "(1 - 2.0::DOUBLE / 9)"
+    fades = "m IS NOT NULL" + (" AND x IS NOT NULL" if ignore_na else "")
+    fade = lambda c, by: f"CASE WHEN {fades} THEN {c} * {by} ELSE {c} END AS {c}1"
+    new = f"((ow1 * m + {a} * x) / (ow1 + {a}))"
+    seen = lambda then, otherwise, first: f"CASE WHEN x IS NULL THEN {otherwise} WHEN m IS NULL THEN {first} ELSE {then} END"
+    step = ", ".join(
+        [
+            f"{seen(new, 'm', 'x')} AS m",
+            f"{seen(f'(ow1 * (cov + pow(m - {new}, 2)) + {a} * pow(x - {new}, 2)) / (ow1 + {a})', 'cov', '0.0')} AS cov",
+            "n + (x IS NOT NULL)::INT AS n",
+            f"{seen('1.0', 'ow1', '1.0')} AS ow",
+            f"{seen(f'(sw1 + {a}) / (ow1 + {a})', 'sw1', '1.0')} AS sw",
+            f"{seen(f'(sw21 + {a} * {a}) / pow(ow1 + {a}, 2)', 'sw21', '1.0')} AS sw2",
+        ]
+    )
+    var = "CASE WHEN n >= 2 AND sw * sw > sw2 THEN sw * sw / (sw * sw - sw2) * cov END"
+    value = {"mean": "m", "var": var, "std": f"sqrt({var})"}[kind]
+    return f"""WITH RECURSIVE ev AS (SELECT event_id, user_id, x, row_number() OVER ({_OVER}) AS rn FROM ({_EV})),
+    r AS (SELECT event_id, user_id, rn, x::DOUBLE AS m, 0.0::DOUBLE AS cov, (x IS NOT NULL)::INT AS n, 1.0::DOUBLE AS ow, 1.0::DOUBLE AS sw, 1.0::DOUBLE AS sw2 FROM ev WHERE rn = 1
+    UNION ALL SELECT event_id, user_id, rn, {step} FROM (SELECT ev.event_id, ev.user_id, ev.rn, ev.x, m, cov, n, {fade("ow", r)}, {fade("sw", r)}, {fade("sw2", f"pow({r}, 2)")} FROM r JOIN ev ON ev.user_id = r.user_id AND ev.rn = r.rn + 1))
+    SELECT event_id, round(({value}) + 3.1e-8, 6) AS x FROM r"""
+
+
+for _name in ("mean", "var", "std"):
+    if _name != "mean":
+        _add(f"ewm_{_name}_adjust_false", _ewm(_name, adjust=False), _ewm_steps_sql(_name, False))
+    _add(f"ewm_{_name}_adjust_false_ignore_na", _ewm(_name, adjust=False, ignore_na=True), _ewm_steps_sql(_name, True))
 
 # ---------------------------------------------------------------- cumulative
 
