@@ -75,8 +75,8 @@ def running(frame: OrderedFrame, kind: str, ranges: int | None = None) -> DataFr
 def rolling(frame: OrderedFrame, window: int, statistic: str, min_periods: int | None = None, ranges: int | None = None) -> DataFrame:
     """A trailing rolling statistic of a frame without partitions.
 
-    Each range gets a copy of the ``window`` - 1 rows before it.  Ranges of
-    fewer rows take from as many ranges before them as that needs.
+    Each range gets a copy of the ``window`` - 1 rows before it, from as many
+    ranges as that needs.
     """
     from dataclasses import replace
 
@@ -84,20 +84,19 @@ def rolling(frame: OrderedFrame, window: int, statistic: str, min_periods: int |
     halo = window - 1
     own, target, from_other = _RANGE, "_strandline_target", "_strandline_halo"
     sizes = dealt.groupBy(own).agg(F.count(F.lit(1)).alias("_n"))
-    upto = W.orderBy(own)
-    placed = sizes.select(own, (F.sum("_n").over(upto) - F.col("_n")).alias("_start"), "_n")
-    # From the order's end of each range, how far a row is from the next one's start.
-    tail = W.partitionBy(own).orderBy(*[_reverse(c) for c in frame.order_by])
+    placed = sizes.select(own, (F.sum("_n").over(W.orderBy(own)) - F.col("_n")).alias("_start"), "_n")
+    # Ranges are far longer than windows as a rule; then only the next one borrows.
+    least = sizes.agg(F.min("_n")).first()[0]
+    reach = 1 if least is None or least >= halo else max(halo, 1)
+    later = F.collect_list(F.struct(F.col(own).alias("to"), F.col("_start").alias("begin"))).over(W.orderBy(own).rowsBetween(1, reach))
+    placed = placed.select("*", later.alias("_later"))
+    # A row's place in the whole order, counted from its range's end.
+    tail = W.partitionBy(own).orderBy(*[F.desc_nulls_last(c) for c in frame.order_by])
     ends = dealt.withColumn("_back", F.row_number().over(tail)).where(F.col("_back") <= halo)
     ends = ends.join(placed, own).withColumn("_place", F.col("_start") + F.col("_n") - F.col("_back"))
-    later = placed.select(F.col(own).alias(target), F.col("_start").alias("_begin"))
-    borrowed = ends.join(F.broadcast(later), (F.col(target) > F.col(own)) & (F.col("_place") >= F.col("_begin") - halo) & (F.col("_place") < F.col("_begin")))
+    near = F.filter("_later", lambda r: F.col("_place") >= r["begin"] - halo)
+    borrowed = ends.withColumn("_to", F.explode(near)).withColumn(target, F.col("_to.to"))
     columns = frame.df.columns
     both = dealt.select(*columns, F.col(own).alias(target), F.lit(False).alias(from_other)).unionByName(borrowed.select(*columns, target, F.lit(True).alias(from_other)))
     inner = replace(frame, df=both, partition_by=(target,))
     return inner.rolling(window, min_periods)._one(statistic).where(~F.col(from_other)).select(*columns)
-
-
-def _reverse(c: str) -> Column:
-    return F.desc_nulls_last(c)
-
