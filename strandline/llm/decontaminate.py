@@ -26,6 +26,8 @@ SHORT_ITEM = 8
 #: The benchmark goes to the workers in blocks of about so many characters; a
 #: larger benchmark takes more passes over the documents, not more memory.
 BLOCK_CHARS = 8_000_000
+#: The driver holds the benchmark once; a larger one than this is an error.
+MAX_CHARS = 200_000_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -137,8 +139,11 @@ class Finder:
 def benchmark_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", chars: int = BLOCK_CHARS) -> list[list[tuple[int, str]]]:
     """The items in blocks of bounded size; null and wordless items match nothing."""
     blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
+    size = total = 0
     for k, t in pick(benchmark, key, text).where(F.col(text).isNotNull()).orderBy(key, text).toLocalIterator():
+        total += len(t)
+        if total > MAX_CHARS:
+            raise ValueError(f"the benchmark has more than {MAX_CHARS} characters")
         if size and size + len(t) > chars:
             blocks.append([])
             size = 0
