@@ -81,10 +81,12 @@ def repeated_windows(df: DataFrame, text: str = "text", key: str = "doc_id", min
     rows = _keyed(pick(df, key, text), key, text).select("k", "h", "t")
     found = written(_fingerprints(rows, min_words), "fingerprints")
     # Counts are taken before the shuffle; nothing gathers a common fingerprint's rows.
-    shared = found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    # As a table, the shared ones' join can be split where one is very common.
+    shared = written(found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "shared-fingerprints")
     held = found.join(shared, "fp").select("k", "h", F.explode("held").alias("w")).select("k", "h", "w.*")
     held = written(held, "repeated-windows")
     first = held.groupBy("gram").agg(F.min(F.struct("k", "first")).alias("origin"), F.count("*").alias("n")).where("n > 1").select("gram", "origin")
+    first = written(first, "window-origins")
     return held.join(first, "gram").where(F.struct("k", "first") > F.col("origin")).select("k", "h", "first", "end")
 
 
