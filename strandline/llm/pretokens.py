@@ -11,9 +11,14 @@ rare character.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import sys
+from array import array
+from collections import Counter
 from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 
 #: Characters whose class (letter, digit, space, other) is the same everywhere.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -22,6 +27,10 @@ _ODD = re.compile(r"[^\n\r\t -~À-ɏ]")
 _PRE_TOKEN = re.compile(rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 #: Entries of the young half of a worker's cache; the old half is as large.
 CACHE_ENTRIES = 500_000
+#: An encoder without a table of frequent pre-tokens makes its own from the first
+#: texts it sees; a table this small stays in the processor's cache.
+HOT_ENTRIES = 8_192
+HOT_TEXTS = 400
 
 
 def _byte_letters() -> dict[int, str]:
@@ -32,6 +41,25 @@ def _byte_letters() -> dict[int, str]:
 
 
 _ALPHABET = _byte_letters()
+_SPACE = _ALPHABET[32]
+
+
+def id_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
+@contextmanager
+def without_collector():
+    """Encoding makes millions of objects and no cycles; looking for cycles costs a third of its time."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
 
 
 class WorkerCache(dict):
@@ -63,6 +91,9 @@ class FrequentFirst(dict):
         return self.rest[token]
 
 
+_SHARED: dict[str, Encoder] = {}
+
+
 class Encoder:
     """``value`` makes something of a list of ids; a text's value is its list of parts."""
 
@@ -77,9 +108,27 @@ class Encoder:
         self._model = self.tokenizer.model.tokenize
         self.cache = WorkerCache(self._pre_token)
         self.known = FrequentFirst(frequent, self.cache) if frequent is not None else self.cache
+        self._seen: Counter | None = Counter() if frequent is None else None
+        self._texts = 0
+
+    @classmethod
+    def shared(cls, path: str) -> Encoder:
+        """This worker's encoder to id bytes: tasks that follow find its caches filled."""
+        if path not in _SHARED:
+            _SHARED.clear()
+            _SHARED[path] = cls(path, id_bytes)
+        return _SHARED[path]
+
+    def _learn(self, tokens: list[str]) -> None:
+        self._seen.update(tokens)
+        self._texts += 1
+        if self._texts == HOT_TEXTS:
+            self.known = FrequentFirst([(t, self.cache[t]) for t, _ in self._seen.most_common(HOT_ENTRIES)], self.cache)
+            self._seen = None
 
     def _pre_token(self, token: str):
-        letters = token.encode().decode("latin-1").translate(_ALPHABET)
+        # In ASCII pre-tokens without control characters only the space has another letter.
+        letters = token.replace(" ", _SPACE) if token.isascii() and token.isprintable() else token.encode().decode("latin-1").translate(_ALPHABET)
         return self.value([t.id for t in self._model(letters)])
 
     def parts(self, text: str | None) -> list:
@@ -88,7 +137,10 @@ class Encoder:
             return []
         if self._whole(text):
             return [self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)]
-        return list(map(self.known.__getitem__, _PRE_TOKEN.findall(text)))
+        tokens = _PRE_TOKEN.findall(text)
+        if self._seen is not None:
+            self._learn(tokens)
+        return list(map(self.known.__getitem__, tokens))
 
 
 def plain_pre_tokens(text: str | None) -> list[str]:

@@ -49,8 +49,9 @@ def _selectors(ids: np.ndarray, block: int) -> np.ndarray:
     """For each position the selector that packs most ids from there on, within its block."""
     n = len(ids)
     width = _width(ids)
-    inside = np.arange(n) % block
-    room = np.minimum(block - inside, n - np.arange(n))
+    # Ids left in a position's block.
+    room = np.resize(np.arange(block, 0, -1, dtype=np.int16), n)
+    room[n - n % block :] = np.arange(n % block, 0, -1)
     best = np.full(n, ESCAPE, np.int8)
     widest, reach = width.copy(), 1
     # From few ids to many, so that each window's maximum grows from a shorter one.
@@ -62,7 +63,10 @@ def _selectors(ids: np.ndarray, block: int) -> np.ndarray:
             step = min(reach, count - reach)
             widest[: n - step] = np.maximum(widest[: n - step], widest[step:])
             reach += step
-        best[(widest <= bits) & (room >= count)] = selector
+        fits = widest <= bits
+        if count > 1:
+            fits &= room >= count
+        np.putmask(best, fits, selector)
     return best
 
 
@@ -97,8 +101,9 @@ def encode_words(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.nd
             words[place[mine] + 1] = ids[starts[mine]]
         else:
             count, bits = LAYOUT[selector]
+            begin = starts[mine]
             for k in range(count if bits else 0):
-                word |= ids[starts[mine] + k] << np.uint64(4 + k * bits)
+                word |= ids[begin + k] << np.uint64(4 + k * bits)
         words[place[mine]] = word
     return words, place[np.searchsorted(starts, np.arange(0, n, block))].astype(np.uint64)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm._common import pick, steps, table
-from strandline.llm.pretokens import Encoder, plain_pre_tokens
+from strandline.llm.pretokens import Encoder, plain_pre_tokens, without_collector
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The table of frequent pre-tokens is made from at most this many partitions,
@@ -81,11 +81,13 @@ def count_tokens(df: DataFrame, text: str = "text", key: str = "doc_id", vocabul
         for batch in batches:
             for part in steps(batch):
                 texts = part.column(1).to_pylist()
+                with without_collector():
+                    counts = [sum(encoder.parts(t)) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
-                        pa.array([sum(encoder.parts(t)) for t in texts], pa.int64()),
+                        pa.array(counts, pa.int64()),
                     ],
                     names=[key, "n_bytes", "n_tokens"],
                 )

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm._common import fresh_path, pick, steps, table
-from strandline.llm.pretokens import Encoder
+from strandline.llm.pretokens import Encoder, id_bytes, without_collector
 from strandline.llm.simple8b import Unit, pack_unit
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -41,8 +41,8 @@ def write_token_files(df: DataFrame, path: str, text: str = "text", key: str = "
     rows = rows.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
 
     def encode(batches):
-        encoder = Encoder(vocabulary, lambda ids: np.array(ids, "<u4").tobytes())
-        end = np.array([end_id], "<u4").tobytes()
+        encoder = Encoder.shared(vocabulary)
+        end = id_bytes([end_id])
         shard, unit, before = TaskContext.get().partitionId(), 0, 0
         keys, lengths, parts, size = [], [], [], 0
 
@@ -52,8 +52,9 @@ def write_token_files(df: DataFrame, path: str, text: str = "text", key: str = "
 
         for batch in batches:
             for part in steps(batch):
-                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = b"".join(encoder.parts(t)) + end
+                with without_collector():
+                    encoded = [b"".join(encoder.parts(t)) + end for t in part.column(1).to_pylist()]
+                for k, ids in zip(part.column(0).to_pylist(), encoded, strict=True):
                     keys.append(k)
                     lengths.append(len(ids) // 4)
                     parts.append(ids)
