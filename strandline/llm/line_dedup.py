@@ -1,11 +1,12 @@
 """Line dedup by winnowing over line hashes.
 
-A window is the shortest run of lines from a given line on that has at least
-``min_words`` words.  Each window's smallest line hash is a fingerprint, so two
-documents that share such a run share a fingerprint, wherever the run stands.
-Fingerprints that occur once are done with; the others bring their windows,
-whose first occurrence is found; later ones are deleted.  Overlapping windows
-join to the longest repeated run, as if extended both ways from a fingerprint.
+A window is the shortest run of lines from a given line on, or up to a given
+line, that has at least ``min_words`` words.  Each window's smallest line hash
+is a fingerprint, so two documents that share such a run share a fingerprint,
+wherever the run stands.  Fingerprints that occur once are done with; the
+others bring their windows, whose first occurrence is found; later ones are
+deleted.  The windows from each line of a repeated run on and those up to each
+of its lines cover all of it, so it is extended both ways to its full length.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ def _signed(h: int) -> int:
 def windows(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int, int]]:
     """Fingerprint, its place, window hash, first and last line of each window of the text.
 
+    A window is a run of ``min_words`` words that has fewer without its last
+    line, or fewer without its first; there are at most two for each line.
     Lines are compared without white space around them; blank lines are passed
     over.  Among equal smallest hashes the last is the fingerprint, so equal
     windows always have it in the same place.
@@ -38,7 +41,7 @@ def windows(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int,
     lines = [(i, line.strip()) for i, line in enumerate(text.split("\n"))]
     lines = [(i, line, len(line.split())) for i, line in lines if line]
     hashes = [xxhash.xxh3_64_intdigest(line) for _, line, _ in lines]
-    out = []
+    spans = []
     end = size = 0
     for begin in range(len(lines)):
         while end < len(lines) and size < min_words:
@@ -46,10 +49,19 @@ def windows(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int,
             end += 1
         if size < min_words:
             break
+        spans.append((begin, end))
+        size -= lines[begin][2]
+        # Further ends, up to where the window of the next line ends.
+        reach, rest = end, size
+        while reach < len(lines) and rest + lines[reach][2] < min_words:
+            rest += lines[reach][2]
+            reach += 1
+            spans.append((begin, reach))
+    out = []
+    for begin, end in spans:
         run = hashes[begin:end]
         least = min(run)
         out.append((_signed(least), end - run[::-1].index(least), _signed(xxhash.xxh3_64_intdigest(struct.pack(f"<{len(run)}Q", *run))), lines[begin][0], lines[end - 1][0]))
-        size -= lines[begin][2]
     return out
 
 

@@ -187,6 +187,40 @@ def test_line_dedup_leaves_repeated_rows_alike(spark):
     assert sorted((r.doc_id, r.text) for r in got) == [(1, text), (1, text), (2, "")]
 
 
+def repeated_runs(docs, least):
+    """What stays, by looking at every run of lines of any length; keys ascend."""
+    first, out = {}, {}
+    for k, text in docs:
+        raw = text.split("\n")
+        lines = [(i, x.strip()) for i, x in enumerate(raw) if x.strip()]
+        drop = set()
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                run = tuple(x for _, x in lines[a : b + 1])
+                if sum(len(x.split()) for x in run) >= least:
+                    j, _, end = first.setdefault(run, (k, lines[a][0], lines[b][0]))
+                    drop |= {i for i in range(lines[a][0], lines[b][0] + 1) if j != k or i > end}
+        out[k] = ("\n".join(x for i, x in enumerate(raw) if i not in drop), len(drop))
+    return out
+
+
+def test_line_dedup_extends_to_the_whole_run(spark):
+    line = lambda n: " ".join(say(n))
+    docs = []
+    for shared in ([line(30), line(30), line(15)], [line(60), line(10)], [line(15), line(30), line(30)], [line(70), line(20), line(20), line(5)]):
+        docs += [(len(docs) + i, "\n".join([line(4), *shared, line(6)])) for i in range(2)]
+    passages = [[line(RNG.randint(1, 30)) for _ in range(RNG.randint(2, 8))] for _ in range(8)]
+    for k in range(8, 60):
+        lines = [line(5)]
+        for _ in range(RNG.randint(1, 3)):
+            p = RNG.choice(passages)
+            lines += p[RNG.randint(0, 2) : len(p) - RNG.randint(0, 2)] + [""] * RNG.randint(0, 1) + [line(RNG.randint(1, 40))]
+        docs.append((k, "\n".join(lines)))
+    got = {r.doc_id: (r.text, r.removed_lines) for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert [got[k][1] for k in range(8)] == [0, 3, 0, 2, 0, 3, 0, 4]
+    assert got == repeated_runs(docs, 50)
+
+
 # --------------------------------------------------------- decontamination
 
 
