@@ -126,8 +126,7 @@ _add(
 
 def _pairs(kind: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = _table(spark, sf_dir, "lineitem").where("l_suppkey % 5 = 0")
-        frame = ordered(df, LINE_KEY, "l_suppkey", ["l_quantity", "l_discount", "l_tax"])
+        frame = ordered(_table(spark, sf_dir, "lineitem"), LINE_KEY, "l_suppkey", ["l_quantity", "l_discount", "l_tax"])
         found = getattr(frame.rolling(8, 3), kind)()
         return found.select("l_suppkey", *LINE_KEY, "col_i", "col_j", F.round(F.col("value") + OFF_TIES, 6).alias("value"))
 

@@ -62,6 +62,32 @@ def test_catalogue_matches_sql(spark):
         pd.testing.assert_frame_equal(got, want, check_dtype=False, obj=name)
 
 
+@pytest.mark.parametrize("kind", ["cov", "corr"])
+def test_rolling_pairs_cover_every_supplier(spark, tmp_path, kind):
+    """Pandas over a small lineitem; the SQL, which has every fifth supplier only, agrees on those."""
+    import duckdb
+    import numpy as np
+
+    from strandline.plans import catalogue
+
+    rng, n, values = np.random.default_rng(5), 150, ["l_quantity", "l_discount", "l_tax"]
+    items = pd.DataFrame({"l_suppkey": rng.integers(1, 12, n), "l_shipdate": pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 40, n), "D"), "l_orderkey": np.arange(n), "l_linenumber": 1, "l_partkey": 2, "l_extendedprice": 3.0})
+    items[values] = rng.random((n, 3))
+    spark.createDataFrame(items).write.parquet(str(tmp_path / "lineitem.parquet"))
+    name = f"rolling_{kind}_pairwise"
+    got = catalogue.queries()[name](spark, str(tmp_path)).toPandas()
+    assert len(got) == n * 9 and set(got.l_suppkey) == set(items.l_suppkey)
+    cells = got.set_index(["l_orderkey", "col_i", "col_j"])["value"].sort_index()
+    for _, d in items.sort_values(catalogue.LINE_KEY).groupby("l_suppkey"):
+        want = getattr(d.set_index("l_orderkey")[values].rolling(8, min_periods=3), kind)(pairwise=True).stack(future_stack=True)
+        np.testing.assert_allclose(cells.loc[list(want.index)], want, rtol=0, atol=2e-6)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.sql(catalogue.oracle_sql()[name]).df().set_index(["l_orderkey", "col_i", "col_j"])["value"].sort_index()
+    assert len(want) == 9 * (items.l_suppkey % 5 == 0).sum()
+    np.testing.assert_allclose(cells.loc[list(want.index)], want, rtol=0, atol=2e-6)
+
+
 def test_ordered_rejects_unknown_columns(spark):
     with pytest.raises(ValueError):
         ordered(spark.range(3).toDF("i"), "i", None, "nothing")
