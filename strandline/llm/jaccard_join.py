@@ -5,10 +5,10 @@ cost nothing further.  A class is embedded in ``COORDINATES`` min-hash tokens;
 from the root of each run a path chooses one or two of them (by a hash of the
 path itself, so all classes choose alike), follows the class's token there,
 and so splits the classes again and again.  Classes that still share a path at
-the last depth are tied to that bucket's hubs, provided their tokens agree
-enough.  Buckets joined through common members are small; within them all
-pairs are compared by brute force with exact sets.  Runs repeat until a pair
-at the threshold is found with the target recall.
+the last depth are tied to each other, pair by pair, provided their tokens
+agree enough.  Groups joined by such ties are small; within them all pairs are
+compared by brute force with exact sets.  Runs repeat until a pair at the
+threshold is found with the target recall.
 """
 
 from __future__ import annotations
@@ -32,24 +32,38 @@ DEPTH = 7
 #: A fraction of paths, in quarters, that choose two coordinates instead of one:
 #: 1.25 choices make a pair at the threshold survive a level once on average.
 _TWO_OF_FOUR = 1
-#: Share of agreeing tokens from which a class stays with a hub: more than four
+#: Share of agreeing tokens from which two classes are tied: more than four
 #: standard deviations below the threshold.
 AGREEMENT = 0.64
 #: Classes compared in one block; larger groups are compared block by block.
 BLOCK = 256
+#: Classes of a bucket whose tokens are compared in one block.
+TOKEN_BLOCK = 512
 _WORD_CACHE = 500_000
 
 _SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 def runs_needed(recall: float = TARGET_RECALL, depth: int = DEPTH, threshold: float = THRESHOLD) -> int:
-    """Runs after which a pair at the threshold shares a last bucket with that probability."""
+    """Runs after which a pair at the threshold shares a last bucket, and is tied there, with that probability.
+
+    All runs draw on the same tokens, so what counts is how many of those a
+    pair has in common, and that varies from pair to pair.
+    """
     two = _TWO_OF_FOUR / 4
-    lost = 0.0
-    for _ in range(depth):
-        missed = 1 - threshold + threshold * lost
-        lost = (1 - two) * missed + two * missed**2
-    return math.ceil(math.log(1 - recall) / math.log(lost))
+    shares = []
+    for equal in range(math.ceil(AGREEMENT * COORDINATES), COORDINATES + 1):
+        agreed, lost = equal / COORDINATES, 0.0
+        for _ in range(depth):
+            missed = 1 - agreed + agreed * lost
+            lost = (1 - two) * missed + two * missed**2
+        shares.append((math.comb(COORDINATES, equal) * threshold**equal * (1 - threshold) ** (COORDINATES - equal), lost))
+    if recall >= sum(p for p, _ in shares):
+        raise ValueError(f"a recall of {recall} is beyond {COORDINATES} tokens")
+    runs = 1
+    while sum(p * (1 - lost**runs) for p, lost in shares) < recall:
+        runs += 1
+    return runs
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -163,6 +177,89 @@ def _agreeing(links: DataFrame, tokens: DataFrame, agreement: float) -> DataFram
     return both.select("u", "v", "tu", "tv").mapInArrow(test, "u long, v long")
 
 
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """The least row each row is connected with."""
+    root = np.arange(len(linked))
+    for i in np.flatnonzero(linked.any(axis=1)):
+        seen = root[np.append(np.flatnonzero(linked[i]), i)]
+        least = seen.min()
+        if (seen != least).any():
+            root[np.isin(root, seen)] = least
+    return root
+
+
+def _equal_tokens(tokens: np.ndarray) -> np.ndarray:
+    """How many tokens all pairs of rows have in common."""
+    n = len(tokens)
+    if n <= 64:
+        return np.count_nonzero(tokens[:, None] == tokens[None], axis=2)
+    out = np.zeros((n, n), np.uint8 if COORDINATES < 256 else np.uint16)
+    for column in np.ascontiguousarray(tokens.T):
+        out += column[:, None] == column[None]
+    return out
+
+
+def _in_blocks(members: DataFrame, block: int, *columns: str) -> DataFrame:
+    """Members (g, size, c, ...) of each pair of blocks of their group, in a row: g, i, j, mine, columns."""
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    rows = members.withColumn("b", blocks).withColumn("mine", F.pmod(F.xxhash64("c"), F.col("b")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+    rows = rows.select("g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", *columns)
+    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+
+
+def _tied_in_blocks(members: DataFrame, agreement: float) -> DataFrame:
+    """Links that connect all classes of a bucket (g, size, c, tokens) that have enough equal tokens."""
+    rows = _in_blocks(members, TOKEN_BLOCK, "c", "tokens")
+    batch_of = lambda us, vs: pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    def tie(batches):
+        us, vs = [], []
+
+        def done(group):
+            tokens = np.frombuffer(b"".join(t for _, t in group), np.uint16).reshape(-1, COORDINATES)
+            near = _equal_tokens(tokens) >= agreement * COORDINATES
+            for i, r in enumerate(_roots(near).tolist()):
+                if i != r:
+                    us.append(group[i][0])
+                    vs.append(group[r][0])
+
+        key, group = None, []
+        for batch in batches:
+            for g, i, j, c, t in zip(*(batch.column(x).to_pylist() for x in (0, 1, 2, 4, 5)), strict=True):
+                if (g, i, j) != key:
+                    if len(group) > 1:
+                        done(group)
+                    key, group = (g, i, j), []
+                group.append((c, t))
+            if len(us) > 10_000:
+                yield batch_of(us, vs)
+                us.clear()
+                vs.clear()
+        if len(group) > 1:
+            done(group)
+        yield batch_of(us, vs)
+
+    return rows.mapInArrow(tie, "u long, v long")
+
+
+def _ties(embedded: DataFrame) -> DataFrame:
+    """Links u, v that connect any two classes (c, tokens, buckets) of one bucket with enough equal tokens."""
+    in_bucket = embedded.select("c", F.explode("buckets").alias("bucket"))
+    buckets = in_bucket.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.bit_xor("c").alias("x"), F.count("*").alias("n")).where("n > 1")
+    # Of buckets with the same classes one is enough; x tells them apart, and names the middle one of three.
+    buckets = written(buckets.groupBy("n", "low", "high", "x").agg(F.min("bucket").alias("g")), "join-buckets")
+    pair = lambda u, v: F.struct(u.alias("u"), v.alias("v"))
+    low, high = F.col("low"), F.col("high")
+    middle = F.col("x").bitwiseXOR(low).bitwiseXOR(high)
+    few = buckets.where("n <= 3").select(F.explode(F.when(F.col("n") == 2, F.array(pair(high, low))).otherwise(F.array(pair(high, low), pair(middle, low), pair(high, middle)))).alias("p")).select("p.*")
+    tokens = embedded.select("c", "tokens")
+    tied = _agreeing(written(few.distinct(), "join-tied"), tokens, AGREEMENT)
+    many = in_bucket.join(buckets.where("n > 3").select(F.col("g").alias("bucket"), F.col("n").alias("size")), "bucket")
+    members = many.join(tokens, "c").select(F.col("bucket").alias("g"), "size", "c", "tokens")
+    return tied.union(_tied_in_blocks(members, AGREEMENT))
+
+
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections."""
     n = len(sets)
@@ -200,11 +297,7 @@ def _compare(group: list[tuple[int, int, int, str]], same: bool, threshold: floa
     copies = np.array([g[1] for g in group], np.int64)
     links, documents = linked.sum(axis=1), linked @ copies
     # A spanning forest carries all that components need.
-    root = np.arange(len(group))
-    for i in np.flatnonzero(links):
-        seen = root[np.append(np.flatnonzero(linked[i]), i)]
-        least = seen.min()
-        root[np.isin(root, seen)] = least
+    root = _roots(linked)
     for i in np.flatnonzero(links):
         emit.append((group[i][0], group[root[i]][0], int(links[i]), int(documents[i])))
 
@@ -216,11 +309,7 @@ def _compared(members: DataFrame, threshold: float) -> DataFrame:
     (text).  Large groups are cut into blocks, and every pair of blocks is a
     task's work of its own, so no group is gathered anywhere.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = members.withColumn("b", blocks).withColumn("mine", F.pmod(F.xxhash64("c"), F.col("b")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
-    rows = rows.select("g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "c", "m", "t")
-    rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    rows = _in_blocks(members, BLOCK, "c", "m", "t")
 
     def compare(batches):
         shingler = Shingler()
@@ -261,14 +350,10 @@ def _joined(df: DataFrame, text: str, key: str, threshold: float, recall: float)
     documents = written(_embedded(rows, runs_needed(recall)), "join-documents")
     classes = written(documents.groupBy("c").agg(F.min(F.struct("k", "h")).alias("rep"), F.count("*").alias("m")).select("c", "rep.*", "m"), "join-classes")
 
-    in_bucket = documents.where("tokens is not null").select("c", F.explode("buckets").alias("bucket"))
-    # Hubs are the bucket's least and greatest class, so nothing gathers a bucket.
-    hubs = in_bucket.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-    tied = in_bucket.join(hubs, "bucket").select("c", F.explode(F.array("low", "high")).alias("hub")).where("c <> hub")
-    tied = written(tied.select(F.greatest("c", "hub").alias("u"), F.least("c", "hub").alias("v")).distinct(), "join-tied")
-    # One document of each class brings the tokens, the same one that brings the text.
-    tokens = documents.where("tokens is not null").join(classes.select("k", "h"), ["k", "h"], "left_semi").groupBy("c").agg(F.first("tokens").alias("tokens"))
-    groups = written(components(_agreeing(tied, tokens, AGREEMENT)), "join-groups")
+    # One document of each class brings tokens and buckets, the same one that brings the text.
+    one = documents.where("tokens is not null").join(classes.select("k", "h"), ["k", "h"], "left_semi")
+    embedded = written(one.groupBy("c").agg(F.first("tokens").alias("tokens"), F.first("buckets").alias("buckets")), "join-embedded")
+    groups = written(components(_ties(embedded)), "join-groups")
 
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     wanted = classes.join(groups.join(sizes, "root").select(F.col("node").alias("c"), F.col("root").alias("g"), "size"), "c")

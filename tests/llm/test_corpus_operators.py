@@ -115,6 +115,40 @@ def test_blocks_of_a_large_group(spark, near_docs, monkeypatch):
     assert got == brute(docs)
 
 
+def test_pairs_inside_a_group_of_variants(spark):
+    """Many variants of one text, no two of them near, and a near copy of every third one."""
+    rng = random.Random(17)
+    base = [f"b{i}" for i in range(300)]
+    docs, planted = [], 0
+    for v in range(1200):
+        words = list(base)
+        for at in range(0, 300, 25):
+            words[at + rng.randrange(5, 20)] = f"v{v}-{at}"
+        docs.append((2 * v, " ".join(words)))
+        if v % 3 == 0:
+            for at in rng.sample(range(0, 300, 25), 6):
+                words[at + 2] = f"c{v}-{at}"
+            docs.append((2 * v + 1, " ".join(words)))
+            planted += 1
+    sets = [set(zip(*[t.split()[i:] for i in range(5)], strict=False)) for _, t in docs[:60]]
+    alike = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert sum(x >= 0.8 for x in alike) == sum(k % 2 for k, _ in docs[:60]) and all(x < 0.7 or 0.8 < x < 0.83 for x in alike)
+    got = jaccard_join.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    found = [r.doc_id for r in got if r.doc_id % 2 and r.class_id == r.doc_id - 1 and r.n_links == 1]
+    assert len(found) >= 0.99 * planted
+    assert sum(r.n_links for r in got) == 2 * len(found)
+
+
+def test_runs_count_what_pairs_have_in_common():
+    np = pytest.importorskip("numpy")
+    rng, pairs = np.random.default_rng(1), 2000
+    tokens = np.arange(pairs * jaccard_join.COORDINATES).reshape(pairs, -1) % 50_000
+    other = np.where(rng.random(tokens.shape) < jaccard_join.THRESHOLD, tokens, tokens + 1).astype(np.uint16)
+    runs = jaccard_join.runs_needed()
+    a, b = (set(zip(*(x.tolist() for x in jaccard_join.last_buckets(t, runs)), strict=True)) for t in (tokens.astype(np.uint16), other))
+    assert len({row for row, _ in a & b}) / pairs >= 0.985
+
+
 def test_one_of_each(spark, near_docs):
     df = spark.createDataFrame(near_docs, "doc_id long, text string").withColumn("h", F.lit(1))
     kept = jaccard_join.one_of_each(df)
