@@ -89,7 +89,7 @@ def _fingerprints(rows: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeated_windows(df: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """Windows that occurred before: columns k, h (a document), first, end (lines)."""
+    """Windows that occurred before, without lines of their first occurrence: columns k, h (a document), first, end (lines)."""
     rows = _keyed(pick(df, key, text), key, text).select("k", "h", "t")
     found = written(_fingerprints(rows, min_words), "fingerprints")
     # Counts are taken before the shuffle; nothing gathers a common fingerprint's rows.
@@ -97,9 +97,12 @@ def repeated_windows(df: DataFrame, text: str = "text", key: str = "doc_id", min
     shared = written(found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "shared-fingerprints")
     held = found.join(shared, "fp").select("k", "h", F.explode("held").alias("w")).select("k", "h", "w.*")
     held = written(held, "repeated-windows")
-    first = held.groupBy("gram").agg(F.min(F.struct("k", "first")).alias("origin"), F.count("*").alias("n")).where("n > 1").select("gram", "origin")
+    first = held.groupBy("gram").agg(F.min(F.struct("k", "first", "h", "end")).alias("origin"), F.count("*").alias("n")).where("n > 1").select("gram", "origin")
     first = written(first, "window-origins")
-    return held.join(first, "gram").where(F.struct("k", "first") > F.col("origin")).select("k", "h", "first", "end")
+    later = held.join(first, "gram").where(F.struct("k", "first") > F.struct("origin.k", "origin.first"))
+    # In the origin's own document its lines stay, also where a later window overlaps them.
+    own = (F.col("k") == F.col("origin.k")) & (F.col("h") == F.col("origin.h"))
+    return later.select("k", "h", F.when(own, F.greatest("first", F.col("origin.end") + 1)).otherwise(F.col("first")).alias("first"), "end")
 
 
 def _keyed(rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -255,6 +255,20 @@ def test_line_dedup_extends_to_the_whole_run(spark):
     assert got == repeated_runs(docs, 50)
 
 
+def test_line_dedup_keeps_the_first_occurrence(spark):
+    line, other = " ".join(say(10)), " ".join(say(10))
+    docs = [(0, "\n".join([line] * 7)), (1, "\n".join([other, line] * 6)), (2, "\n".join([line] * 5 + ["end"]))]
+    passages = [[" ".join(say(RNG.randint(1, 25))) for _ in range(RNG.randint(1, 5))] for _ in range(4)]
+    for k in range(3, 60):
+        lines = []
+        for _ in range(RNG.randint(1, 5)):
+            lines += RNG.choice(passages) * RNG.randint(1, 3) + [" ".join(say(4))] * RNG.randint(0, 1) + [""] * RNG.randint(0, 1)
+        docs.append((k, "\n".join(lines)))
+    got = {r.doc_id: (r.text, r.removed_lines) for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got[0] == ("\n".join([line] * 5), 2) and got[2] == ("end", 5)
+    assert got == repeated_runs(docs, 50)
+
+
 # --------------------------------------------------------- decontamination
 
 
