@@ -346,6 +346,9 @@ def _with_place(rows: DataFrame, text: str, key: str) -> DataFrame:
 
 def _joined(df: DataFrame, text: str, key: str, threshold: float, recall: float) -> DataFrame:
     """Each document k, h with its class's first document, its set's key and its links."""
+    if threshold < THRESHOLD:
+        # Runs, the agreement bound and the least set size are made for pairs from THRESHOLD on.
+        raise ValueError(f"threshold {threshold} is below {THRESHOLD}; links below that would be lost")
     rows = _with_place(pick(df, key, text), text, key).select("k", "h", F.coalesce(F.col(text), F.lit("")).alias("t"))
     documents = written(_embedded(rows, runs_needed(recall)), "join-documents")
     classes = written(documents.groupBy("c").agg(F.min(F.struct("k", "h")).alias("rep"), F.count("*").alias("m")).select("c", "rep.*", "m"), "join-classes")

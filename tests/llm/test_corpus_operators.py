@@ -149,6 +149,14 @@ def test_runs_count_what_pairs_have_in_common():
     assert len({row for row, _ in a & b}) / pairs >= 0.985
 
 
+@pytest.mark.parametrize("join", [jaccard_join.jaccard_join, jaccard_join.one_of_each])
+def test_thresholds_that_would_lose_links(spark, join):
+    df = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        join(df, threshold=0.5)
+    assert join(df, threshold=0.9).count() == 1
+
+
 def test_one_of_each(spark, near_docs):
     df = spark.createDataFrame(near_docs, "doc_id long, text string").withColumn("h", F.lit(1))
     kept = jaccard_join.one_of_each(df)
