@@ -8,35 +8,21 @@ Only one small row for each range is ever gathered.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.frame import OrderedFrame
 from strandline.functions.missing import known
+from strandline.plans.tables import written
 
 _RANGE = "_strandline_range"
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder that executors share: what a range holds never changes."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="strandline-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/ranges-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def in_ranges(df: DataFrame, order: list[Column], ranges: int | None = None) -> DataFrame:
     """Rows with their range number; a range holds all rows between two values of the order."""
     dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
-    return _kept(dealt.withColumn(_RANGE, F.spark_partition_id()))
+    return written(dealt.withColumn(_RANGE, F.spark_partition_id()), "ranges")
 
 
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product, "count": F.sum}
