@@ -4,9 +4,11 @@ A window is the shortest run of lines from a given line on, or up to a given
 line, that has at least ``min_words`` words.  Each window's smallest line hash
 is a fingerprint, so two documents that share such a run share a fingerprint,
 wherever the run stands.  Fingerprints that occur once are done with; the
-others bring their windows, whose first occurrence is found; later ones are
-deleted.  The windows from each line of a repeated run on and those up to each
-of its lines cover all of it, so it is extended both ways to its full length.
+others' positions are joined and bring their windows; each window's first
+occurrence is found, and later ones are deleted.  A match is extended both
+ways: forwards by the windows up to each further line, backwards by those from
+each earlier line on.  Together these cover a repeated run to its full length,
+and no pair of documents ever has to meet.
 """
 
 from __future__ import annotations
@@ -18,11 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._common import pick, steps, table, written
+from strandline.llm._common import discard, maybe_among, pick, spread_join, steps, table, with_place, written
 
 #: A repeated run is deleted from this many words on.
 MIN_WORDS = 50
-_FIRST = -(1 << 63)
 
 
 def _signed(h: int) -> int:
@@ -67,64 +68,68 @@ def windows(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int,
 
 def _fingerprints(rows: DataFrame, min_words: int) -> DataFrame:
     """One row for each fingerprint position, with the windows it stands for."""
+    kind = rows.schema["k"].dataType.simpleString()
+    windows_of = pa.list_(pa.struct([("gram", pa.int64()), ("first", pa.int32()), ("end", pa.int32())]))
 
     def select(batches):
         for batch in batches:
             for part in steps(batch):
-                fps, keys, hashes, held = [], [], [], []
-                for k, h, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                fps, at, held = [], [], []
+                for row, t in enumerate(part.column(2).to_pylist()):
                     last = None
                     for fp, place, gram, first, end in windows(t, min_words):
                         if place != last:
                             fps.append(fp)
-                            keys.append(k)
-                            hashes.append(h)
+                            at.append(row)
                             held.append([])
                             last = place
                         held[-1].append({"gram": gram, "first": first, "end": end})
-                kind = pa.list_(pa.struct([("gram", pa.int64()), ("first", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(held, kind)], names=["fp", "k", "h", "held"])
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), part.column(0).take(at), part.column(1).take(at), pa.array(held, windows_of)], names=["fp", "k", "h", "held"])
 
-    return rows.mapInArrow(select, "fp long, k long, h long, held array<struct<gram:long,first:int,end:int>>")
+    return rows.mapInArrow(select, f"fp long, k {kind}, h long, held array<struct<gram:long,first:int,end:int>>")
 
 
 def repeated_windows(df: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """Windows that occurred before, without lines of their first occurrence: columns k, h (a document), first, end (lines)."""
-    rows = _keyed(pick(df, key, text), key, text).select("k", "h", "t")
+    rows = with_place(pick(df, key, text), key, text).select("k", "h", F.coalesce(F.col(text), F.lit("")).alias("t"))
     found = written(_fingerprints(rows, min_words), "fingerprints")
     # Counts are taken before the shuffle; nothing gathers a common fingerprint's rows.
-    # As a table, the shared ones' join can be split where one is very common.
-    shared = written(found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "shared-fingerprints")
-    held = found.join(shared, "fp").select("k", "h", F.explode("held").alias("w")).select("k", "h", "w.*")
+    shared = written(found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1"), "shared-fingerprints")
+    total = max(found.count(), 1)
+    held = spread_join(found, shared, "fp", "n", total).select("k", "h", F.explode("held").alias("w")).select("k", "h", "w.*")
     held = written(held, "repeated-windows")
-    first = held.groupBy("gram").agg(F.min(F.struct("k", "first", "h", "end")).alias("origin"), F.count("*").alias("n")).where("n > 1").select("gram", "origin")
+    # Documents of the same key are told apart by their texts, so one of them is the first.
+    place = F.struct("k", "h", "first")
+    first = held.groupBy("gram").agg(F.min(F.struct("k", "h", "first", "end")).alias("origin"), F.count("*").alias("n")).where("n > 1")
     first = written(first, "window-origins")
-    later = held.join(first, "gram").where(F.struct("k", "first") > F.struct("origin.k", "origin.first"))
+    later = spread_join(held, first, "gram", "n", max(held.count(), 1)).where(place > F.struct("origin.k", "origin.h", "origin.first"))
     # In the origin's own document its lines stay, also where a later window overlaps them.
     own = (F.col("k") == F.col("origin.k")) & (F.col("h") == F.col("origin.h"))
-    return later.select("k", "h", F.when(own, F.greatest("first", F.col("origin.end") + 1)).otherwise(F.col("first")).alias("first"), "end")
-
-
-def _keyed(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Null ids stand before all others; a document is its id and its text's hash."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return rows.withColumns({"k": F.coalesce(F.col(key).cast("long"), F.lit(_FIRST)), "h": F.xxhash64(t), "t": t})
+    runs = written(later.select("k", "h", F.when(own, F.greatest("first", F.col("origin.end") + 1)).otherwise(F.col("first")).alias("first"), "end"), "repeated-runs")
+    discard(found, shared, held, first)
+    return runs
 
 
 def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """Delete runs of lines that occurred before.
 
-    Before is by ascending key (null first), then by line.  Only runs of
-    ``min_words`` words or more count; the first occurrence stays.  Rows with
-    the same key and text are the same place and treated alike: neither is
-    later than the other.
+    Before is by ascending key (null first), among equal keys by a hash of the
+    text, then by line.  Only runs of ``min_words`` words or more count; the
+    first occurrence stays.  Rows with the same key and text are the same place
+    and treated alike: neither is later than the other.  Keys are integers, or
+    are compared as text.  An empty table gives an empty result.
 
     Result, a row for each input row: the key, ``text`` (what stays; null stays
-    null), ``n_lines`` and ``removed_lines``.
+    null), ``n_lines`` and ``removed_lines``.  Documents without repeated runs
+    are not shuffled.
     """
-    rows = _keyed(pick(df, key, text), key, text)
-    gone = repeated_windows(df, text, key, min_words).groupBy("k", "h").agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("runs"))
-    joined = rows.join(gone, ["k", "h"], "left").select(key, text, "runs")
+    rows = with_place(pick(df, key, text), key, text)
+    gone = repeated_windows(df, text, key, min_words).groupBy("k", "h").agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("runs"), F.count("*").alias("n"))
+    gone = written(gone, "runs-of-documents")
+    rows = rows.withColumn("maybe", maybe_among(rows, gone, gone.count(), "k", "h"))
+    touched = rows.where("maybe").join(gone, ["k", "h"], "left").select(key, text, "runs")
+    joined = rows.where("not maybe").select(key, text, F.lit(None).cast(gone.schema["runs"].dataType).alias("runs")).unionByName(touched)
 
     def cut(batches):
         for batch in batches:
