@@ -45,7 +45,7 @@ def test_components(spark):
 # ---------------------------------------------------------------- join
 
 
-def brute(docs):
+def brute(docs, threshold=0.8):
     """Class, set and link counts by comparing every pair of exact shingle sets."""
 
     def shingles(text):
@@ -53,7 +53,7 @@ def brute(docs):
         return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
 
     sets = [shingles(t) for _, t in docs]
-    near = lambda a, b: a == b or (len(a & b) >= 0.8 * len(a | b) - 1e-9 and bool(a | b))
+    near = lambda a, b: a == b or (len(a & b) >= threshold * len(a | b) - 1e-9 and bool(a | b))
     n = len(docs)
     root = list(range(n))
 
@@ -149,12 +149,52 @@ def test_runs_count_what_pairs_have_in_common():
     assert len({row for row, _ in a & b}) / pairs >= 0.985
 
 
-@pytest.mark.parametrize("join", [jaccard_join.jaccard_join, jaccard_join.one_of_each])
-def test_thresholds_that_would_lose_links(spark, join):
-    df = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
-    with pytest.raises(ValueError):
-        join(df, threshold=0.5)
-    assert join(df, threshold=0.9).count() == 1
+@pytest.mark.parametrize("threshold", [0.5, 0.9])
+def test_other_thresholds(spark, threshold):
+    rng = random.Random(5)
+    docs = []
+    for i in range(60):
+        words = [f"v{rng.randrange(4000)}" for _ in range(120)]
+        docs.append((2 * i, " ".join(words)))
+        for at in rng.sample(range(0, 120, 12), 6 if threshold < 0.8 else 1):
+            words[at] = "other"
+        docs.append((2 * i + 1, " ".join(words)))
+    docs += [(500, "a b c d e f"), (501, "a b c d e f g")]  # two of three shingles in common
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), threshold=threshold).collect()), key=str)
+    want = brute(docs, threshold)
+    assert sum(w[2] for w in want) >= 100
+    assert sum(g != w for g, w in zip(got, want, strict=True)) <= 2
+
+
+def test_large_buckets_are_split(spark, near_docs, monkeypatch):
+    again, split = [], jaccard_join._split_again
+    monkeypatch.setattr(jaccard_join, "_split_again", lambda *a: again.append(1) or split(*a))
+    rows = jaccard_join.with_place(spark.createDataFrame(near_docs, "doc_id long, text string"), "doc_id", "text").selectExpr("k", "h", "coalesce(text, '') t")
+    paths = jaccard_join.Paths(depth=1)
+    documents = jaccard_join._embedded(rows, paths).where("tokens is not null").groupBy("c1", "c2").agg(F.first("tokens").alias("tokens"))
+    classes = jaccard_join.written(documents.withColumn("c", F.monotonically_increasing_id()), "test-classes")
+    ties = {r.node: r.root for r in components(jaccard_join._ties(classes, paths, split=8)).collect()}
+    whole = {r.node: r.root for r in components(jaccard_join._ties(classes, paths, split=10_000)).collect()}
+    assert len(again) >= 1
+    assert sum(ties.get(n) is None for n in whole) <= 0.01 * len(whole)
+    assert set(ties) <= set(whole)
+
+
+def test_keys_that_are_text(spark):
+    words = " ".join(say(30))
+    docs = [("b", words), ("a", words), (None, "other text altogether of some words"), ("c", None)]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_join(df).collect()}
+    assert got == {"a": ("a", 1), "b": ("a", 1), None: (None, 0), "c": ("c", 0)}
+    assert jaccard_join.jaccard_join(df.limit(0)).collect() == []
+    assert {r.doc_id for r in line_dedup.dedup_lines(df, min_words=5).collect()} == {"a", "b", "c", None}
+
+
+def test_one_of_each_keeps_one_row_of_repeats(spark):
+    words = " ".join(say(30))
+    rows = [(1, words, "s2"), (1, words, "s1"), (1, words, "s1"), (2, words, "s0"), (None, None, None), (None, None, None)]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, words, "s1"), (None, None, None)], key=str)
 
 
 def test_one_of_each(spark, near_docs):
@@ -181,26 +221,6 @@ def test_shingles_of_long_and_short_texts():
 # ----------------------------------------------------------------- lines
 
 
-def plain_line_dedup(docs, least):
-    seen, out = {}, {}
-    for k, text in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):
-        raw = (text or "").split("\n")
-        lines = [(i, x.strip()) for i, x in enumerate(raw) if x.strip()]
-        drop = set()
-        for a in range(len(lines)):
-            size, b = 0, a
-            while b < len(lines) and size < least:
-                size += len(lines[b][1].split())
-                b += 1
-            if size < least:
-                break
-            run = tuple(x for _, x in lines[a:b])
-            if seen.setdefault(run, (k, lines[a][0])) != (k, lines[a][0]):
-                drop |= set(range(lines[a][0], lines[b - 1][0] + 1))
-        out[k] = (None if text is None else "\n".join(x for i, x in enumerate(raw) if i not in drop), len(drop))
-    return out
-
-
 def test_line_dedup_against_brute_force(spark):
     passages = [[" ".join(say(RNG.randint(3, 9))) for _ in range(RNG.randint(2, 6))] for _ in range(6)]
     common = " ".join(say(6))
@@ -215,11 +235,13 @@ def test_line_dedup_against_brute_force(spark):
                 lines += [common] * RNG.randint(1, 5)
             lines += [""] * RNG.randint(0, 2)
         docs.append((k, "\n".join(lines)))
-    docs += [(200, "\n".join(" ".join(say(8)) for _ in range(3000))), (201, docs[60][1])]
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("runs", F.lit(1)).withColumn("h", F.lit(1)).repartition(4)
+    long = (200, "\n".join(" ".join(say(8)) for _ in range(3000)))  # nothing in it repeats
+    docs += [(201, docs[60][1])]
+    df = spark.createDataFrame([*docs, long], "doc_id long, text string").withColumn("runs", F.lit(1)).withColumn("h", F.lit(1)).repartition(4)
     for least in (10, 25):
         got = {r.doc_id: (r.text, r.removed_lines) for r in line_dedup.dedup_lines(df, min_words=least).collect()}
-        assert got == plain_line_dedup(docs, least)
+        assert got.pop(200) == (long[1], 0)
+        assert got == repeated_runs(docs, least)
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
@@ -230,10 +252,10 @@ def test_line_dedup_leaves_repeated_rows_alike(spark):
 
 
 def repeated_runs(docs, least):
-    """What stays, by looking at every run of lines of any length; keys ascend."""
+    """What stays, by looking at every run of lines of any length; keys ascend, null first."""
     first, out = {}, {}
     for k, text in docs:
-        raw = text.split("\n")
+        raw = (text or "").split("\n")
         lines = [(i, x.strip()) for i, x in enumerate(raw) if x.strip()]
         drop = set()
         for a in range(len(lines)):
@@ -242,10 +264,18 @@ def repeated_runs(docs, least):
                 if sum(len(x.split()) for x in run) >= least:
                     j, _, end = first.setdefault(run, (k, lines[a][0], lines[b][0]))
                     drop |= {i for i in range(lines[a][0], lines[b][0] + 1) if j != k or i > end}
-        out[k] = ("\n".join(x for i, x in enumerate(raw) if i not in drop), len(drop))
+        out[k] = (None if text is None else "\n".join(x for i, x in enumerate(raw) if i not in drop), len(drop))
     return out
 
 
+@pytest.mark.parametrize("key", [None, 5])
+def test_line_dedup_tells_documents_of_one_key_apart(spark, key):
+    run = "\n".join(" ".join(say(9)) for _ in range(7))
+    texts = [f"{run}\nfirst", f"{run}\nsecond", f"{run}\nthird"]
+    got = sorted(r.removed_lines for r in line_dedup.dedup_lines(spark.createDataFrame([(key, t) for t in texts], "doc_id long, text string")).collect())
+    assert got == [0, 7, 7]
+
+
 def test_line_dedup_extends_to_the_whole_run(spark):
     line = lambda n: " ".join(say(n))
     docs = []
