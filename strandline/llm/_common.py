@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from strandline.plans.tables import discard, fresh_path, shared_dir, written
 
-__all__ = ["DOCUMENT_COLUMNS", "discard", "fresh_path", "id_crc32", "least_key", "maybe_among", "numbered", "pick", "restored", "result_names", "shared_dir", "spread_join", "steps", "table", "with_place", "written"]
+__all__ = ["DOCUMENT_COLUMNS", "discard", "fresh_path", "id_crc32", "least_key", "maybe_among", "numbered", "once", "pick", "restored", "result_names", "shared_dir", "spread_join", "steps", "table", "with_place", "written"]
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -51,6 +51,20 @@ def id_crc32(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")))
 
 
+_MADE: dict = {}
+
+
+def once(spread, make):
+    """``make`` of a broadcast value, made once in each worker process; the last few are kept."""
+    value = spread.value
+    held = _MADE.get((make, id(value)))
+    if held is None or held[0] is not value:
+        if len(_MADE) >= 4:
+            _MADE.pop(next(iter(_MADE)))
+        held = _MADE[make, id(value)] = (value, make(value))
+    return held[1]
+
+
 def result_names(keep, own) -> dict[str, str]:
     """Names of an operator's own result columns beside kept ones: one that clashes gets ``_found`` behind it."""
     taken, out = set(keep), {}

@@ -6,9 +6,10 @@ and a backslash of the text is doubled, so every text can be read back.
 
 A conversation that is longer than the budget becomes several windows.  Prefix
 sums of turn tokens choose where windows begin: always at a turn, as late as
-the budget allows.  Every window repeats the leading system turns, and all but
-the first repeat some of the turns before them as history.  The loss mask
-covers assistant texts, each once: repeated turns are never under it.
+the budget allows.  The first window has all leading system turns; every
+further one repeats those of them that fit into half a window, and some of the
+turns before it as history.  The loss mask covers assistant texts, each once:
+repeated turns are never under it.
 """
 
 from __future__ import annotations
@@ -57,8 +58,8 @@ def unescape(text: Column) -> Column:
 def _turns(conversations: DataFrame, budget: Budget) -> DataFrame:
     """One row for each conversation: its turns in order, with prefix sums of tokens.
 
-    ``lead`` turns (system turns before any other) are apart; they take no
-    part in prefix sums, since every window pays for them.
+    ``lead`` turns (system turns before any other) are apart; ``upto`` sums
+    them up alone, and the other turns alone.
     """
     rows = pick(conversations, "conv_id", "turn", "role", "text").select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
@@ -67,7 +68,8 @@ def _turns(conversations: DataFrame, budget: Budget) -> DataFrame:
     sofar = order.rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("pos", F.row_number().over(order)).withColumn("others", F.sum((F.col("role") != budget.system_role).cast("int")).over(sofar))
     rows = rows.withColumn("lead", F.col("others") == 0).withColumn("n", tokens(F.col("text")) + budget.overhead)
-    rows = rows.withColumn("upto", F.sum(F.when(F.col("lead"), 0).otherwise(F.col("n")).cast("long")).over(sofar))
+    apart = [F.sum(F.when(F.col("lead") == lead, F.col("n")).otherwise(0).cast("long")).over(sofar) for lead in (True, False)]
+    rows = rows.withColumn("upto", F.when(F.col("lead"), apart[0]).otherwise(apart[1]))
     escaped = F.struct("pos", "lead", "n", "upto", escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), (F.col("role") == budget.loss_role).alias("target"))
     return rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(escaped)).alias("turns"))
 
@@ -78,36 +80,51 @@ def format_windows(conversations: DataFrame, budget: Budget = Budget()) -> DataF
     Turns stand in the order of ``turn`` (null first), then role, then text;
     a null role or text counts as empty, and a repeated row is a repeated turn.
     A conversation of leading system turns only gives one window.  A turn that
-    alone exceeds the budget gets a window of its own, whole.
+    alone exceeds the budget gets a window of its own, whole; leading system
+    turns that exceed half of it are whole in the first window and not
+    repeated.  Work and output grow in proportion to a conversation's turns.  A
+    null ``conv_id`` is a conversation like any other; other columns are not
+    looked at; an empty table gives an empty result.
 
     Result: ``conv_id``, ``window`` (from 0), ``text``, ``loss`` (array of start
     and length in code points, from 0), ``repeated`` (turns at the window's
     head that another window or its own lead has already given) and ``tokens``.
     """
-    room = F.lit(budget.window) - F.coalesce(F.aggregate(F.filter("turns", lambda t: t["lead"]), F.lit(0), lambda a, t: a + t["n"].cast("int")), F.lit(0))
-    convs = _turns(conversations, budget).withColumn("room", room).withColumn("own", F.filter("turns", lambda t: ~t["lead"]))
+    convs = _turns(conversations, budget)
+    leads = F.filter("turns", lambda t: t["lead"])
+    kept = F.filter("turns", lambda t: t["lead"] & (t["upto"] <= budget.window // 2))
+    convs = convs.select(
+        "conv_id",
+        "turns",
+        F.size(leads).alias("leads"),
+        F.size(kept).alias("kept"),
+        (F.lit(budget.window) - F.when(F.size(leads) > 0, F.get(leads, F.size(leads) - 1)["upto"]).otherwise(0)).alias("first_room"),
+        (F.lit(budget.window - budget.history) - F.when(F.size(kept) > 0, F.get(kept, F.size(kept) - 1)["upto"]).otherwise(0)).alias("room"),
+    )
     # A window begins at the turn whose prefix sum first leaves the room that
     # the first window has, or that a later one has beside its history.
-    start = F.struct(F.col("own")[0]["pos"].cast("long").alias("pos"), F.lit(0).cast("long").alias("base"))
+    long = lambda c, name: c.cast("long").alias(name)
+    own = F.slice("turns", F.col("leads") + 1, F.size("turns"))
     begun = F.aggregate(
-        "own",
-        F.when(F.size("own") > 0, F.array(start)).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("base")))),
+        own,
+        F.array(F.struct(long(F.col("leads") + 1, "pos"), long(F.lit(0), "base"))),
         lambda acc, t: F.when(
-            (t["upto"] - F.element_at(acc, -1)["base"] > F.col("room") - F.when(F.size(acc) > 1, budget.history).otherwise(0)) & (t["pos"] > F.element_at(acc, -1)["pos"]),
-            F.concat(acc, F.array(F.struct(t["pos"].cast("long").alias("pos"), (t["upto"] - t["n"]).cast("long").alias("base")))),
+            (t["upto"] - F.element_at(acc, -1)["base"] > F.when(F.size(acc) > 1, F.col("room")).otherwise(F.col("first_room"))) & (t["pos"] > F.element_at(acc, -1)["pos"]),
+            F.concat(acc, F.array(F.struct(long(t["pos"], "pos"), long(t["upto"] - t["n"], "base")))),
         ).otherwise(acc),
     )
     convs = convs.withColumn("begun", begun)
-    spans = convs.select("conv_id", "turns", "begun", F.posexplode("begun").alias("window", "at"))
-    end = F.coalesce(F.get("begun", F.col("window") + 1)["pos"], F.lit(2**62))
-    spans = spans.withColumn("end", end)
-    shown = F.filter(
-        "turns",
-        lambda t: t["lead"]
-        | ((t["pos"] >= F.col("at.pos")) & (t["pos"] < F.col("end")))
-        | ((t["pos"] < F.col("at.pos")) & (t["pos"] >= F.col("at.pos") - budget.history_turns) & (t["upto"] - t["n"] >= F.col("at.base") - budget.history)),
-    )
-    spans = spans.withColumn("shown", shown).drop("turns", "begun")
+
+    def window(at: Column, i: Column) -> Column:
+        """Its number, where it begins, and the turns it shows: only these leave the conversation's row."""
+        pos = at["pos"].cast("int")
+        end = F.coalesce(F.get("begun", i + 1)["pos"].cast("int"), F.size("turns") + 1)
+        past = F.greatest(pos - budget.history_turns, F.col("leads") + 1)
+        history = F.filter(F.slice("turns", past, pos - past), lambda t: t["upto"] - t["n"] >= at["base"] - budget.history)
+        before = F.when(i == 0, F.slice("turns", F.lit(1), F.col("leads"))).otherwise(F.concat(F.slice("turns", F.lit(1), F.col("kept")), history))
+        return F.struct(i.alias("window"), at.alias("at"), F.concat(before, F.slice("turns", pos, end - pos)).alias("shown"))
+
+    spans = convs.select("conv_id", F.explode(F.transform("begun", window)).alias("w")).select("conv_id", "w.*")
     head = lambda t: F.concat(F.lit(f"{BEGIN}{ROLE} "), t["role"], F.lit(f" {SAYS} "))
     parts = F.transform(
         "shown",
@@ -194,3 +211,42 @@ def op1_chat(spark, sf_dir: str) -> DataFrame:
     )
     conversations = pick(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     return window_digests(format_windows(conversations.unionByName(probe)))
+
+
+#: The same windows and digests, turn by turn, with the default budget.
+OP1_SQL = r"""
+WITH RECURSIVE said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+placed AS (
+  SELECT *, row_number() OVER w AS pos, bool_and(role = 'system') OVER w AS lead,
+         len(regexp_extract_all(text, '[\p{L}\p{M}]+|\p{N}|[^\s\p{L}\p{M}\p{N}]')) + 6 AS n,
+         replace(replace(replace(replace(replace(role, '\', '\\'), '<s>', '<\s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '</s>', '<\/s>') AS erole,
+         replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '</s>', '<\/s>') AS etext
+  FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+turns AS (
+  SELECT conv_id, pos, role, text, lead, n, length(erole) + length(etext) + length('<s>[INST]  [/INST] </s>') AS chars,
+         sum(n) OVER (PARTITION BY conv_id, lead ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto FROM placed),
+convs AS (
+  SELECT conv_id, count(*) AS n_turns, count(*) FILTER (lead) AS leads,
+         512 - coalesce(max(upto) FILTER (lead), 0) AS first_room, 416 - coalesce(max(upto) FILTER (lead AND upto <= 256), 0) AS room,
+         coalesce(sum(chars) FILTER (lead), 0) AS lead_chars, coalesce(sum(chars) FILTER (lead AND upto <= 256), 0) AS kept_chars,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+         coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS lost
+  FROM turns GROUP BY conv_id),
+walk AS (
+  SELECT t.conv_id, t.pos, 0 AS win, 0::HUGEINT AS base, t.pos AS start, t.chars FROM turns t JOIN convs c USING (conv_id) WHERE t.pos = c.leads + 1
+  UNION ALL
+  SELECT t.conv_id, t.pos, CASE WHEN leaves THEN win + 1 ELSE win END, CASE WHEN leaves THEN (t.upto - t.n)::HUGEINT ELSE base END, CASE WHEN leaves THEN t.pos ELSE start END, t.chars
+  FROM (SELECT w.*, c.room, c.first_room FROM walk w JOIN convs c USING (conv_id)) w JOIN turns t ON t.conv_id = w.conv_id AND t.pos = w.pos + 1,
+       LATERAL (SELECT t.upto - w.base > CASE WHEN w.win > 0 THEN w.room ELSE w.first_room END AS leaves)),
+windows AS (SELECT conv_id, win, min(start) AS start, max(base) AS base, sum(chars) AS chars FROM walk GROUP BY conv_id, win),
+history AS (
+  SELECT w.conv_id, sum(t.chars) AS chars FROM windows w JOIN turns t ON t.conv_id = w.conv_id
+  WHERE w.win > 0 AND NOT t.lead AND t.pos < w.start AND t.pos >= w.start - 4 AND t.upto - t.n >= w.base - 96 GROUP BY w.conv_id),
+sums AS (SELECT conv_id, count(*) AS n_windows, sum(chars) AS chars FROM windows GROUP BY conv_id)
+SELECT c.conv_id, n_turns::BIGINT AS n_turns, turns_sha256, length(lost)::BIGINT AS loss_chars, sha256(lost) AS loss_sha256,
+       (lead_chars + kept_chars * (coalesce(n_windows, 1) - 1) + coalesce(s.chars, 0) + coalesce(h.chars, 0))::BIGINT AS formatted_chars,
+       coalesce(n_windows, 1)::BIGINT AS n_windows
+FROM convs c LEFT JOIN sums s USING (conv_id) LEFT JOIN history h USING (conv_id)
+"""

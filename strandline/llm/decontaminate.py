@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._common import pick, steps, table
+from strandline.llm._common import once, pick, result_names, steps, table
 
 #: Word edits allowed for each word of an item.
 ERROR_RATE = 0.2
@@ -26,8 +27,6 @@ SHORT_ITEM = 8
 #: The benchmark goes to the workers in blocks of about so many characters; a
 #: larger benchmark takes more passes over the documents, not more memory.
 BLOCK_CHARS = 8_000_000
-#: The driver holds the benchmark once; a larger one than this is an error.
-MAX_CHARS = 200_000_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -56,10 +55,14 @@ class Myers:
         self.mask = (1 << self.size) - 1
         self.top = 1 << (self.size - 1)
 
-    def best(self, text: list[str]) -> tuple[int, int]:
-        """Least distance of the pattern to any substring, and where that substring ends."""
+    def best(self, text: list[str], free: bool = True) -> tuple[int, int]:
+        """Least distance of the pattern to any substring, and where the first such substring ends.
+
+        Without ``free`` the substring begins where the text does.
+        """
         plus, minus, distance = self.mask, 0, self.size
         least, end = distance, 0
+        carry = 0 if free else 1
         get, mask, top = self.places.get, self.mask, self.top
         for i, w in enumerate(text):
             eq = get(w, 0)
@@ -71,7 +74,7 @@ class Myers:
                 distance += 1
             elif mh & top:
                 distance -= 1
-            ph = (ph << 1) & mask  # free start: no carry into the first row
+            ph = ((ph << 1) | carry) & mask  # a free start costs nothing in the first row
             mh = (mh << 1) & mask
             plus = (mh | ~(xv | ph)) & mask
             minus = ph & xv
@@ -84,7 +87,7 @@ class Finder:
     """All items of a block, ready to be looked for."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE):
-        self.items: list[tuple[int, Myers, int]] = []
+        self.items: list[tuple[int, Myers, Myers, int]] = []
         found: dict[str, list[tuple[int, int]]] = {}
         for key, text in items:
             item = words(text)
@@ -92,7 +95,7 @@ class Finder:
                 continue
             errors = budget(len(item), rate)
             number = len(self.items)
-            self.items.append((key, Myers(item), errors))
+            self.items.append((key, Myers(item), Myers(item[::-1]), errors))
             for at, piece in pieces(item, errors):
                 found.setdefault(" " + " ".join(piece) + " ", []).append((number, at))
         self.automaton = ahocorasick.Automaton()
@@ -121,7 +124,7 @@ class Finder:
                 wanted.setdefault(number, set()).add(first - offset)
         out = []
         for number, begins in sorted(wanted.items()):
-            key, pattern, errors = self.items[number]
+            key, pattern, backwards, errors = self.items[number]
             best, seen = None, -1
             for begin in sorted(begins):
                 low, high = max(0, begin - errors), begin + pattern.size + errors
@@ -130,26 +133,29 @@ class Finder:
                 seen = high
                 distance, end = pattern.best(said[low:high])
                 if distance <= errors and (best is None or distance < best[1]):
-                    best = (key, distance, max(low, low + end - pattern.size), low + end)
+                    # Where it begins, read from its end: of equally near beginnings the nearest.
+                    best = (key, distance, low + end - backwards.best(said[low : low + end][::-1], free=False)[1], low + end)
             if best:
                 out.append(best)
         return out
 
 
-def benchmark_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", chars: int = BLOCK_CHARS) -> list[list[tuple[int, str]]]:
-    """The items in blocks of bounded size; null and wordless items match nothing."""
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = total = 0
+def benchmark_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of bounded size, one at a time; null and wordless items match nothing."""
+    block: list[tuple[int, str]] = []
+    size = 0
     for k, t in pick(benchmark, key, text).where(F.col(text).isNotNull()).orderBy(key, text).toLocalIterator():
-        total += len(t)
-        if total > MAX_CHARS:
-            raise ValueError(f"the benchmark has more than {MAX_CHARS} characters")
         if size and size + len(t) > chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((k, t))
+            yield block
+            block, size = [], 0
+        block.append((k, t))
         size += len(t)
-    return [b for b in blocks if b]
+    if block:
+        yield block
+
+
+def _finder(made: tuple) -> Finder:
+    return Finder(*made)
 
 
 def find_items(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rate: float = ERROR_RATE) -> DataFrame:
@@ -157,40 +163,43 @@ def find_items(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: tu
 
     Result, a row for each input row: the columns of ``keep``, ``items`` (ids
     of the items found, ascending), ``edits`` (their least word distances),
-    ``first_word`` and ``end_word`` (where they stand), ``contaminated``.
-    A null or empty text holds nothing.  Items with equal texts are all found.
+    ``first_word`` and ``end_word`` (where they stand), ``contaminated``; a
+    result column whose name is also kept gets ``_found`` behind it.
+
+    A null or empty text holds nothing, and an empty benchmark is found
+    nowhere.  Items with equal texts are all found, repeated rows are judged
+    alike, whole texts are searched however long, an empty table gives an
+    empty result.  Among equally near places of an item the first counts.
     """
     names = [text, *[k for k in keep if k != text]]
     rows = pick(df, *names)
     spark = df.sparkSession
-    blocks = benchmark_blocks(benchmark)
-    fields = "items array<long>, edits array<int>, first_word array<int>, end_word array<int>"
+    fields = ("array<long>", "array<int>", "array<int>", "array<int>")
+    result = result_names(names, ("items", "edits", "first_word", "end_word", "contaminated"))
+    own = list(result.values())[:4]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    kept += "".join(f", `{n}` {t}" for n, t in zip(own, fields, strict=True))
 
     def pass_over(frame: DataFrame, block) -> DataFrame:
-        spread = spark.sparkContext.broadcast(block)
+        spread = spark.sparkContext.broadcast((block, rate))
 
         def find(batches):
-            finder = Finder(spread.value, rate)
+            finder = once(spread, _finder)
             for batch in batches:
                 for part in steps(batch):
                     before = part.column(part.num_columns - 4).to_pylist()
-                    found = [sorted([*zip(*(c[i].as_py() for c in part.columns[-4:]), strict=True), *finder.find(t)] if before[i] else finder.find(t)) for i, t in enumerate(part.column(0).to_pylist())]
+                    found = [sorted([*zip(*(c[i].as_py() for c in part.columns[-4:]), strict=True), *finder.find(t)]) if before[i] else finder.find(t) for i, t in enumerate(part.column(0).to_pylist())]
                     yield pa.RecordBatch.from_arrays(
                         [*part.columns[:-4], *[pa.array([[h[j] for h in hits] for hits in found], pa.list_(kind)) for j, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))]],
-                        names=[*names, "items", "edits", "first_word", "end_word"],
+                        names=[*names, *own],
                     )
 
-        return frame.mapInArrow(find, f"{kept}, {fields}")
+        return frame.mapInArrow(find, kept)
 
-    empty = {n: F.array().cast(t) for n, t in (("items", "array<long>"), ("edits", "array<int>"), ("first_word", "array<int>"), ("end_word", "array<int>"))}
-    clash = set(empty) & set(keep)
-    if clash:
-        raise ValueError(f"columns of the result are asked for as input: {sorted(clash)}")
-    out = rows.withColumns(empty)
-    for block in blocks:
+    out = rows.withColumns({n: F.array().cast(t) for n, t in zip(own, fields, strict=True)})
+    for block in benchmark_blocks(benchmark):
         out = pass_over(out, block)
-    return out.withColumn("contaminated", F.size("items") > 0).drop(*([] if text in keep else [text]))
+    return out.withColumn(result["contaminated"], F.size(own[0]) > 0).select(*keep, *result.values())
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

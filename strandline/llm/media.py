@@ -177,7 +177,9 @@ def store_media(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     """Each text's UTF-8 bytes as a PNG in the binary column ``media``.
 
     Result: the key, ``n_bytes`` (before padding) and ``media``, one row for
-    each input row.  A null or empty text is one row of spaces.
+    each input row.  A null or empty text is one row of spaces.  Equal texts
+    give equal images; a text of any length is one image.  Columns other than
+    key and text are not looked at.  An empty table gives an empty result.
     """
 
     def encode(batches):
@@ -197,7 +199,8 @@ def store_media(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
 def media_features(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Read stored media back: payload digests and the cosine hash.
 
-    A damaged image raises ValueError; a null image gives null results.
+    A damaged image raises ValueError; a null image gives null results.  Equal
+    images give equal results, and an empty table gives an empty one.
     """
 
     def decode(batches):

@@ -12,11 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.llm._common import numbered, pick, restored, table, written
+from strandline.llm._common import discard, numbered, pick, restored, table, written
+from strandline.plans.scale import running_over_ranges
 
-#: Targets are worked out on the driver; more sources than this are an error.
-MAX_SOURCES = 1_000_000
-#: A plan of at most so many sources (some 10 MB) is broadcast to the documents.
+#: A plan of at most so many sources (some 10 MB) is broadcast to the documents; a larger one is joined.
 BROADCAST_SOURCES = 100_000
 SEED = 17
 WEIGHTS = (5, 2, 1)
@@ -32,26 +31,22 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def water_fill(sizes: list[int], weights: list[float], total: float, epochs: float) -> list[float]:
-    """Targets by weight, none above ``epochs`` times its size; their sum is ``total``.
+def water_fill(sources: DataFrame, total: float) -> DataFrame:
+    """``target`` of each source (s, w, cap): by weight w, none above its cap; their sum is ``total``.
 
-    A total beyond all caps gives every source its cap; sources of size 0 get 0.
+    The excess of clamped sources is shared again by weight.  Sources are
+    clamped in the order of cap / w, so running sums of caps and weights in
+    that order give the level that is left if all before are clamped; the level
+    that holds is the highest that the source itself still exceeds.  A total
+    beyond all caps gives every source its cap; caps of 0 get 0.
     """
-    caps = [epochs * s for s in sizes]
-    clamped = [s == 0 for s in sizes]
-    targets = [0.0] * len(sizes)
-    while True:
-        free = [i for i, c in enumerate(clamped) if not c]
-        left = total - sum(caps[i] for i, c in enumerate(clamped) if c)
-        share = sum(weights[i] for i in free)
-        level = left / share if free else 0.0
-        over = [i for i in free if level * weights[i] >= caps[i]]
-        if not over:
-            for i in range(len(sizes)):
-                targets[i] = float(caps[i]) if clamped[i] else level * weights[i]
-            return targets
-        for i in over:
-            clamped[i] = True
+    by_ratio = [F.col("ratio"), F.col("w"), F.asc_nulls_last("s")]
+    found = written(running_over_ranges(sources.withColumn("ratio", F.col("cap") / F.col("w").cast("double")), by_ratio, {"caps": ("sum", "cap"), "ws": ("sum", "w")}), "mix-levels")
+    weights = found.agg(F.sum("w")).first()[0] or 0
+    level = (F.lit(total) - (F.col("caps") - F.col("cap"))).cast("double") / (F.lit(weights) - (F.col("ws") - F.col("w"))).cast("double")
+    free = found.where(level * F.col("w") < F.col("cap")).agg(F.max(level)).first()[0]
+    target = F.col("cap").cast("double") if free is None else F.least(F.lit(free) * F.col("w"), F.col("cap").cast("double"))
+    return found.withColumn("target", target).drop("ratio", "caps", "ws")
 
 
 def _order(seed: int) -> Column:
@@ -59,38 +54,38 @@ def _order(seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("k").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
-def plan_sources(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> list[tuple]:
-    """Source, size and target of each source, by code point, null last.
+def plan_sources(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
+    """es (source), source_size and target of each source; weights repeat by code point, null last.
 
-    ``sized`` has columns ``s`` (source) and ``n`` (words).  ``weights`` repeat
-    over the sources in that order.
+    ``sized`` has columns ``s`` (source) and ``n`` (words).
     """
-    found = sized.groupBy("s").agg(F.sum("n").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r.s is None, (r.s or "").encode("utf-8", "surrogatepass")))
-    sizes = [r["size"] for r in found]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(found))], share * sum(sizes), epochs)
-    return [(r.s, size, target) for r, size, target in zip(found, sizes, targets, strict=True)]
+    sources = written(sized.groupBy("s").agg(F.sum("n").alias("size")), "mix-sources")
+    total = share * (sources.agg(F.sum("size")).first()[0] or 0)
+    placed = running_over_ranges(sources.withColumn("one", F.lit(1)), [F.asc_nulls_last("s")], {"nth": ("sum", "one")})
+    weight = F.get(F.array(*[F.lit(w) for w in weights]), ((F.col("nth") - 1) % len(weights)).cast("int"))
+    targets = water_fill(placed.select("s", "size", weight.alias("w"), (F.col("size") * F.lit(epochs)).alias("cap")), total)
+    return targets.select(F.col("s").alias("es"), F.col("size").alias("source_size"), "target")
 
 
 def _sized(rows: DataFrame, text: str, source: str, key: str, seed: int) -> DataFrame:
-    rows = rows.select("*", F.col(key).alias("k"), F.col(source).alias("s"), words(F.col(text)).alias("n"))
+    """Rows with k, s, n, and their place in the order: o, and among equal ids n and a hash of the text."""
+    rows = rows.select("*", F.col(key).alias("k"), F.col(source).alias("s"), words(F.col(text)).alias("n"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
     return rows.withColumn("o", _order(seed))
 
 
-def mix_plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
-    """For each source: size, target, whole repetitions, and the last document of the fraction.
+def mix_plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> tuple[DataFrame, bool]:
+    """For each source: size, target, whole repetitions, and where the fraction ends.
 
-    ``sized`` has columns s (source), n (words) and o (place in the order).
+    ``cut`` is the place of the last document taken; of the ``c`` rows that
+    stand there, which are equal, ``t`` are taken.  Also whether any source
+    takes some of these rows and not all.
+
+    ``sized`` has columns s (source), n (words), o and th (place in the order).
     """
-    spark = sized.sparkSession
-    targets = plan_sources(sized, weights, share, epochs)
-    planned = spark.createDataFrame(
-        [(s, size, target, int(target // size) if size else 0) for s, size, target in targets],
-        "es string, source_size long, target double, whole int",
-    ).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
-    near = F.broadcast if len(targets) <= BROADCAST_SOURCES else lambda frame: frame
+    targets = written(plan_sources(sized, weights, share, epochs), "mix-targets")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.try_divide("target", F.col("source_size").cast("double")))).otherwise(0).cast("int")
+    planned = targets.withColumn("whole", whole).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
+    near = F.broadcast if targets.count() <= BROADCAST_SOURCES else lambda frame: frame
     same = F.col("s").eqNullSafe(F.col("es"))
     # Words before the last bucket, found by _BITS bits of the order at a time:
     # sums by source and bucket, so no source is ever gathered in one task.
@@ -109,20 +104,44 @@ def mix_plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: fl
         )
         edge = planned.join(near(ended.select("s", F.coalesce("hit", "last").alias("at"))), same, "left").drop("s")
         edge = written(edge.withColumns({"before": F.coalesce("at.x", F.lit(0)).cast("long"), "prefix": F.coalesce("at.b", F.lit(0)).cast("long")}).drop("at"), "mix-edges")
-    # Only the last bucket's documents, a source's 65,536th part, need an order.
+    # Only the last bucket's documents, a source's 65,536th part, need an order;
+    # rows that stand in the same place are counted before anything is shuffled.
     low = 60 - _BITS * _STEPS
-    inner = sized.join(near(edge.select("es", "prefix", "before", "extra")), same).where(F.shiftright("o", low) == F.col("prefix"))
-    running = F.sum("n").over(W.partitionBy("s").orderBy("o", "n").rowsBetween(W.unboundedPreceding, 0))
-    inner = inner.withColumn("upto", running).where(F.col("before") + F.col("upto") - F.col("n") / 2 <= F.col("extra"))
-    cut = inner.groupBy("s").agg(F.max(F.struct("o", "n")).alias("cut"))
-    before_all = F.struct((F.shiftleft("prefix", low) - 1).alias("o"), F.lit(2**62).alias("n"))
-    out = edge.join(near(cut), same, "left").withColumn("cut", F.coalesce("cut", before_all)).select("es", "source_size", "target", "whole", "extra", "cut")
-    return near(written(out, "mix-plan"))
-
-
-def _times(planned: DataFrame) -> DataFrame:
-    more = (F.struct("o", "n") <= F.col("cut")) & (F.col("extra") > 0) & (F.col("n") > 0)
-    return planned.withColumn("times", F.col("whole") + more.cast("int"))
+    inner = sized.join(near(edge.select("es", "prefix", "before", "extra")), same).where((F.shiftright("o", low) == F.col("prefix")) & (F.col("n") > 0))
+    groups = inner.groupBy("s", "o", "n", "th").agg(F.count("*").alias("c"), F.first("before").alias("before"), F.first("extra").alias("extra"))
+    size = F.col("n") * F.col("c")
+    running = F.sum(size).over(W.partitionBy("s").orderBy("o", "n", "th").rowsBetween(W.unboundedPreceding, 0))
+    taken = F.floor((F.col("extra") - F.col("before") - F.col("upto") + size) / F.col("n").cast("double") + 0.5)
+    groups = groups.withColumn("upto", running).withColumn("t", F.least(taken, F.col("c"))).where("t > 0 and extra > 0")
+    cut = groups.groupBy("s").agg(F.max(F.struct("o", "n", "th", "t", "c")).alias("cut"))
+    before_all = F.struct((F.shiftleft("prefix", low) - 1).alias("o"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("th"), F.lit(1).cast("long").alias("t"), F.lit(1).cast("long").alias("c"))
+    out = edge.join(near(cut), same, "left").withColumn("cut", F.coalesce("cut", before_all))
+    out = written(out.select("es", "source_size", "target", "whole", "extra", F.struct("cut.o", "cut.n", "cut.th").alias("cut"), "cut.t", "cut.c"), "mix-plan")
+    return near(out), out.where("t < c").limit(1).count() > 0
+
+
+def _times(sized: DataFrame, plan: tuple[DataFrame, bool]) -> DataFrame:
+    """Sized rows with their source's plan and ``times``, how often the mix takes each."""
+    planned, divided = plan
+    rows = sized.join(planned, F.col("s").eqNullSafe(F.col("es")))
+    place = F.struct("o", "n", "th")
+    more = (place <= F.col("cut")) & (F.col("extra") > 0) & (F.col("n") > 0)
+    if not divided:
+        return rows.withColumn("times", F.col("whole") + more.cast("int"))
+    at_cut = (place == F.col("cut")) & (F.col("t") < F.col("c")) & (F.col("extra") > 0)
+    clear = rows.where(~at_cut).withColumn("times", F.col("whole") + more.cast("int"))
+    # Equal rows of which some are taken: their parts of the table take all, some or none.
+    tied = written(rows.where(at_cut).withColumn("nth", F.monotonically_increasing_id()).withColumn("part", F.shiftright("nth", 33)), "mix-tied")
+    held = tied.groupBy("es", "part").agg(F.count("*").alias("held"), F.first("t").alias("all"))
+    sofar = F.sum("held").over(W.partitionBy("es").orderBy("part").rowsBetween(W.unboundedPreceding, 0))
+    quota = F.greatest(F.least(F.col("all") - F.col("sofar") + F.col("held"), F.col("held")), F.lit(0))
+    quotas = held.withColumn("sofar", sofar).select(F.col("es").alias("qs"), F.col("part").alias("qp"), "held", quota.alias("quota"))
+    both = tied.join(quotas, F.col("es").eqNullSafe(F.col("qs")) & (F.col("part") == F.col("qp")))
+    sure = both.where("quota = 0 or quota = held").withColumn("times", F.col("whole") + (F.col("quota") > 0).cast("int"))
+    # One part of each source at most is left, and ordered.
+    nth = F.row_number().over(W.partitionBy("es", "part").orderBy("nth"))
+    rest = both.where("quota > 0 and quota < held").withColumn("times", F.col("whole") + (nth <= F.col("quota")).cast("int"))
+    return clear.unionByName(sure.unionByName(rest).select(*clear.columns))
 
 
 def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
@@ -134,22 +153,25 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     Beyond whole epochs, documents are taken in the seeded order while the
     words so far, half of the document's included, stay within the fraction of
     the source; so a source misses its target by half a document at most.  The
-    order depends on the seed and the id only; rows with the same id stand in
-    the order of their size, and repeated rows are taken alike.  Null text has
-    size 0 and is never repeated; null source is a source, the last.
+    order depends on the seed and the id; rows with the same id stand in the
+    order of their size, then of a hash of their text.  Repeated rows count one
+    by one: as many are taken as fit.  Null text has size 0 and is never
+    repeated; null source is a source, the last.  Very long documents are taken
+    whole or not at all.  An empty table gives an empty result.
     """
-    sized = written(_sized(pick(df, key, text, source), text, source, key, seed).select("k", "s", "n", "o"), "mix-sizes")
-    planned = sized.join(mix_plan(sized, weights, share, epochs), F.col("s").eqNullSafe(F.col("es")))
-    return _times(planned).select(F.col("k").alias(key), F.col("n").alias("size"), "source_size", "target", "times", (F.col("n") * F.col("times")).alias("taken"))
+    sized = written(_sized(pick(df, key, text, source), text, source, key, seed).select("k", "s", "n", "o", "th"), "mix-sizes")
+    taken = _times(sized, mix_plan(sized, weights, share, epochs))
+    return taken.select(F.col("k").alias(key), F.col("n").alias("size"), "source_size", "target", "times", (F.col("n") * F.col("times")).alias("taken"))
 
 
 def mixed_rows(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
-    """The rows of ``df``, each as many times as the mix takes it; see ``mix``."""
-    sized = written(_sized(pick(df, key, text, source), text, source, key, seed).select("k", "s", "n", "o"), "mix-sizes")
+    """The rows of ``df``, all columns, each as many times as the mix takes it; see ``mix``."""
+    sized = written(_sized(pick(df, key, text, source), text, source, key, seed).select("s", "n", "o", "th"), "mix-sizes")
     plan = mix_plan(sized, weights, share, epochs)
+    discard(sized)
     columns = df.columns
     own = [f"_c{columns.index(c)}" for c in (text, source, key)]
-    planned = _times(_sized(numbered(df), *own, seed).join(plan, F.col("s").eqNullSafe(F.col("es"))))
+    planned = _times(_sized(numbered(df), *own, seed), plan)
     return restored(planned.withColumn("nth", F.explode(F.array_repeat(F.lit(1), F.col("times")))), columns)
 
 

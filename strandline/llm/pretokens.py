@@ -2,11 +2,11 @@
 
 A byte-level BPE vocabulary encodes each pre-token on its own, so a text's ids
 are those of its pre-tokens, one after another, and a pre-token seen before
-needs only a lookup.  Texts of plain characters are cut here with the public
-pre-token pattern; the library's BPE model encodes what no cache knows.  Texts
-with other characters or with a special token's string go whole to the
-library's own pipeline, so results never depend on how a library classes a
-rare character.
+needs only a lookup.  Texts are cut here with the public pre-token pattern; the
+library's BPE model encodes what no cache knows.  How a character beyond the
+plain ones is classed (letter, digit, space, other) is asked of the library's
+own pre-tokenizer once, so results never depend on another library's tables.
+Only texts with a special token's string go whole through the library.
 """
 
 from __future__ import annotations
@@ -91,6 +91,19 @@ class FrequentFirst(dict):
         return self.rest[token]
 
 
+class _Classes(dict):
+    """Code point -> a plain character of the same class; the library's pre-tokenizer is asked once for each."""
+
+    def __init__(self, cut: Callable[[str], list]):
+        super().__init__({i: i for i in (*range(32, 127), 9, 10, 13)})
+        self.cut = cut
+
+    def __missing__(self, code: int) -> str:
+        char = chr(code)
+        self[code] = next((mark for mark in "a0!" if len(self.cut(mark + char)) == 1), "\t")
+        return self[code]
+
+
 _SHARED: dict[str, Encoder] = {}
 
 
@@ -104,7 +117,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.value = value
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._whole = re.compile("|".join([_ODD.pattern, *map(re.escape, added)])).search
+        self._whole = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
+        self._classes = _Classes(self.tokenizer.pre_tokenizer.pre_tokenize_str)
         self._model = self.tokenizer.model.tokenize
         self.cache = WorkerCache(self._pre_token)
         self.known = FrequentFirst(frequent, self.cache) if frequent is not None else self.cache
@@ -119,6 +133,11 @@ class Encoder:
             _SHARED[path] = cls(path, id_bytes)
         return _SHARED[path]
 
+    def pre_tokens(self, text: str) -> list[str]:
+        if _ODD.search(text) is None:
+            return _PRE_TOKEN.findall(text)
+        return [text[m.start() : m.end()] for m in _PRE_TOKEN.finditer(text.translate(self._classes))]
+
     def _learn(self, tokens: list[str]) -> None:
         self._seen.update(tokens)
         self._texts += 1
@@ -137,12 +156,7 @@ class Encoder:
             return []
         if self._whole(text):
             return [self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)]
-        tokens = _PRE_TOKEN.findall(text)
+        tokens = self.pre_tokens(text)
         if self._seen is not None:
             self._learn(tokens)
         return list(map(self.known.__getitem__, tokens))
-
-
-def plain_pre_tokens(text: str | None) -> list[str]:
-    """Pre-tokens of a plain text; none of a text that goes whole to the library."""
-    return [] if not text or _ODD.search(text) else _PRE_TOKEN.findall(text)

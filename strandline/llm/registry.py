@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm.chat import op1_chat
+from strandline.llm.chat import OP1_SQL, op1_chat
 from strandline.llm.decontaminate import op10_decontamination
 from strandline.llm.jaccard_join import op8_jaccard_join
 from strandline.llm.langid import op3_language
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL}
+    return {"op1_chat": OP1_SQL, "op6_mixing": OP6_SQL}

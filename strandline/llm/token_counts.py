@@ -16,8 +16,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._common import pick, steps, table
-from strandline.llm.pretokens import Encoder, plain_pre_tokens, without_collector
+from strandline.llm._common import once, pick, steps, table
+from strandline.llm.pretokens import Encoder, without_collector
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The table of frequent pre-tokens is made from at most this many partitions,
@@ -37,11 +37,13 @@ def frequent_pre_tokens(rows: DataFrame, path: str, partitions: int = SAMPLE_PAR
     column = rows.columns[-1]
 
     def count(batches):
-        seen, left = Counter(), per_partition
+        seen, left, cut = Counter(), per_partition, Encoder(path, len).pre_tokens
         for batch in batches:
-            for text in batch.column(batch.num_columns - 1).slice(0, left).to_pylist():
-                seen.update(plain_pre_tokens(text))
+            for text in batch.column(0).slice(0, left).to_pylist():
+                seen.update(cut(text or ""))
             left -= min(left, batch.num_rows)
+            if not left:
+                break
         top = [(t, n) for t, n in seen.most_common(entries) if len(t.encode()) < 256]
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["t", "n"])
 
@@ -58,10 +60,11 @@ def frequent_pre_tokens(rows: DataFrame, path: str, partitions: int = SAMPLE_PAR
     return b"".join(b for b, _ in known), bytes(len(b) for b, _ in known), bytes(n for _, n in known)
 
 
-def _unpacked(packed: tuple[bytes, bytes, bytes]) -> list[tuple[str, int]]:
-    texts, sizes, counts = packed
+def _encoder(shared: tuple) -> Encoder:
+    """This worker's encoder to counts, with the compact table unpacked once."""
+    path, (texts, sizes, counts) = shared
     ends = np.cumsum(np.frombuffer(sizes, np.uint8), dtype=np.int64).tolist()
-    return [(texts[a:b].decode(), n) for a, b, n in zip([0, *ends], ends, counts, strict=False)]
+    return Encoder(path, len, [(texts[a:b].decode(), n) for a, b, n in zip([0, *ends], ends, counts, strict=False)])
 
 
 def count_tokens(df: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: str | None = None, limit: int = 1024) -> DataFrame:
@@ -71,13 +74,15 @@ def count_tokens(df: DataFrame, text: str = "text", key: str = "doc_id", vocabul
     than ``limit`` tokens), one row for each input row.  A null text counts as
     empty: no bytes and no tokens.  No special tokens are added; a special
     token's string inside a text is one token, as the library's default has it.
+    Repeated rows are counted alike, whole texts however long; columns other
+    than key and text are not looked at.  An empty table gives an empty result.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     rows = pick(df, key, text)
-    packed = rows.sparkSession.sparkContext.broadcast(frequent_pre_tokens(rows, path))
+    spread = rows.sparkSession.sparkContext.broadcast((path, frequent_pre_tokens(rows, path)))
 
     def count(batches):
-        encoder = Encoder(path, len, _unpacked(packed.value))
+        encoder = once(spread, _encoder)
         for batch in batches:
             for part in steps(batch):
                 texts = part.column(1).to_pylist()

@@ -31,14 +31,17 @@ UNIT_IDS = 1 << 18
 def write_token_files(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", vocabulary: str | None = None, end_id: int = END_ID) -> None:
     """Encode each text, add the end id, and write units in ascending key order.
 
-    Null keys come first; rows with equal keys stand in the order of their
-    texts (null first), so reruns write the same ids in the same order.  A null
-    or empty text has the end id only.  An empty table writes a table without
-    units.
+    Keys are integers (other types must cast to long).  Null keys come first;
+    rows with equal keys stand in the order of a hash of their texts, so reruns
+    write the same ids in the same order, and repeated rows may be dealt to
+    several shards.  A null or empty text has the end id only; a very long one
+    is never split.  An empty table writes a table without units.
     """
     vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
     rows = pick(df, key, text)
-    rows = rows.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    # A range may end within equal keys, and within equal rows too, since none of these is told apart.
+    rows = rows.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.monotonically_increasing_id().alias("nth"))
+    place = ("k", F.xxhash64(F.coalesce("t", F.lit(""))), "nth")
 
     def encode(batches):
         encoder = Encoder.shared(vocabulary)
@@ -66,7 +69,7 @@ def write_token_files(df: DataFrame, path: str, text: str = "text", key: str = "
         if keys:
             yield packed()
 
-    ordered = rows.repartitionByRange("k").sortWithinPartitions("k", "t")
+    ordered = rows.repartitionByRange(*place).sortWithinPartitions(*place)
     ordered.mapInArrow(encode, "shard int, unit int, n_ids long, data binary").write.option("compression", "zstd").parquet(path)
 
 

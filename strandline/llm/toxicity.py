@@ -3,7 +3,7 @@
 Texts are folded (case, accents, look-alike letters, digit substitutions) and
 searched with an Aho-Corasick automaton of weighted words and word beginnings.
 Hits inside exception phrases do not count.  The sum of weights is normalised
-by a power of the text's length and mapped to a score between 0 and 1.
+by a power of the text's length in words and mapped to a score between 0 and 1.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._common import id_crc32, pick, steps, table
+from strandline.llm._common import discard, id_crc32, once, pick, steps, table, written
 
 #: The fit uses about this many labelled documents of either label.
 SAMPLE_PER_LABEL = 3_000
@@ -134,7 +134,7 @@ class Matcher:
         for start, word, weight in self.hits(folded):
             if not self.phrases or self.phrases.isdisjoint(self.neighbours(folded, start, word)):
                 total += weight
-        return total, folded.count(" ") + folded.count("\n") + 1.0
+        return total, len(folded.split()) + 1.0
 
     def score(self, text: str | None) -> float:
         total, length = self.evidence(text)
@@ -146,15 +146,21 @@ class Matcher:
 
 
 def _sampled(documents: DataFrame, labels: DataFrame, per_label: int) -> DataFrame:
-    """About ``per_label`` labelled texts of each label: columns t, y."""
+    """About ``per_label`` labelled texts of each label, one for each id: columns t, y.
+
+    An id with several labels counts with the one most of them give; without a
+    majority it teaches nothing.  Of several texts of an id the first in order counts.
+    """
     known = pick(labels, "doc_id", "toxic").toDF("k", "y").where("y in (0, 1) and k is not null")
-    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    settled = known.groupBy("k").agg(F.sum(2 * F.col("y") - 1).alias("s")).where("s <> 0").select("k", (F.col("s") > 0).cast("int").alias("y"))
+    sizes = {r.y: r.n for r in settled.groupBy("y").agg(F.count("*").alias("n")).collect()}
     part = F.lit(0)
     for y, n in sizes.items():
         part = F.when(F.col("y") == y, F.lit(min(_HASH_RANGE, math.ceil(_HASH_RANGE * per_label / n)))).otherwise(part)
-    chosen = known.where(F.pmod(F.xxhash64("k"), F.lit(_HASH_RANGE)) < part).dropDuplicates(["k"])
+    chosen = settled.where(F.pmod(F.xxhash64("k"), F.lit(_HASH_RANGE)) < part)
     # The sample's size is bounded by ``per_label``, so it may be broadcast.
-    return pick(documents, "doc_id", "text").toDF("k", "t").where("t is not null").join(F.broadcast(chosen), "k").select("t", "y")
+    texts = pick(documents, "doc_id", "text").toDF("k", "t").where("t is not null").join(F.broadcast(chosen), "k")
+    return texts.groupBy("k").agg(F.min("t").alias("t"), F.first("y").alias("y")).select("t", "y")
 
 
 def _counted(sample: DataFrame, terms) -> DataFrame:
@@ -179,12 +185,11 @@ def _word_terms(folded: str) -> set[str]:
 def fit(documents: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Lexicon:
     """Learn words, word beginnings, exception phrases and the score's scale.
 
-    Only labels 0 and 1 with an id teach; a document labelled twice counts with
-    one of its labels.  Without toxic or without clean documents the lexicon is
-    empty and every score is 0.
+    Only labels 0 and 1 with an id teach; contradictory ones are settled by
+    majority, or teach nothing.  Null texts teach nothing.  The same rows give
+    the same lexicon, whatever their order.  Without toxic or without clean
+    documents the lexicon is empty and every score is 0.
     """
-    from strandline.llm._common import written
-
     sample = written(_sampled(documents, labels, per_label), "toxicity-sample")
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -199,7 +204,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LAB
     lexicon = Lexicon(words, stems)
 
     def phrases(folded: str) -> set[str]:
-        matcher = _cached_matcher(lexicon)
+        matcher = _cached_matcher(lexicon)  # one lexicon for each task's closure
         return {p for start, word, _ in matcher.hits(folded) for p in matcher.neighbours(folded, start, word) if p}
 
     excepted = _counted(sample, phrases).where((F.col("c") >= EXCEPTION_DOCUMENTS) & ((F.col("c") + 0.5) / (clean + 1.0) >= EXCEPTION_ODDS * (F.col("a") + 0.5) / (toxic + 1.0)))
@@ -211,7 +216,8 @@ def fit(documents: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LAB
             found = [matcher.evidence(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([t for t, _ in found], pa.float64()), pa.array([n for _, n in found], pa.float64())], names=["y", "total", "length"])
 
-    rows = sample.mapInArrow(evidence, "y int, total double, length double").collect()
+    rows = sample.mapInArrow(evidence, "y int, total double, length double").collect()  # numbers of the bounded sample
+    discard(sample)
     lexicon.power, lexicon.half = _scale(np.array([r.y for r in rows]), np.array([r.total for r in rows]), np.array([r.length for r in rows]), clean / toxic)
     return lexicon
 
@@ -255,13 +261,16 @@ def _scale(y: np.ndarray, total: np.ndarray, length: np.ndarray, clean_weight: f
 def score_toxicity(df: DataFrame, lexicon: Lexicon, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Result: the key, ``score`` (0 to 1) and ``predicted`` (1 from score 0.5), a row for each input row.
 
-    Null and empty texts score 0.
+    Null and empty texts score 0, equal texts alike; white space does not
+    change a score.  Whole texts are searched, however long.  Columns other
+    than key and text are not looked at, whatever their names.  An empty table
+    gives an empty result.
     """
     rows = pick(df, key, text)
     spread = rows.sparkSession.sparkContext.broadcast(lexicon)
 
     def score(batches):
-        matcher = Matcher(spread.value)
+        matcher = once(spread, Matcher)
         for batch in batches:
             for part in steps(batch):
                 scores = [matcher.score(t) for t in part.column(1).to_pylist()]
