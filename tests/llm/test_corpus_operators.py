@@ -346,9 +346,9 @@ def test_decontamination_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("contaminated", F.lit(0)).withColumn("text2", F.lit(0))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
-    blocks = decontaminate.benchmark_blocks(bench, chars=block)
-    assert (len(blocks) > 1) == (block == 300)
-    monkeypatch.setattr(decontaminate, "benchmark_blocks", lambda *_: blocks)
+    in_blocks = decontaminate.benchmark_blocks
+    assert (len(list(in_blocks(bench, chars=block))) > 1) == (block == 300)
+    monkeypatch.setattr(decontaminate, "benchmark_blocks", lambda b: in_blocks(b, chars=block))
     got = {r.doc_id: (r["items"], r.edits) for r in decontaminate.find_items(df, bench).collect()}
     for k, text in docs:
         said, want = decontaminate.words(text), []
@@ -358,7 +358,17 @@ def test_decontamination_against_brute_force(spark, monkeypatch, block):
                 want.append((i, d))
         assert list(zip(*got[k], strict=True)) == sorted(want), k
     assert decontaminate.find_items(df.limit(0), bench).count() == 0
-    assert not any(r.contaminated for r in decontaminate.find_items(df, bench.limit(0)).collect()) or block == 10**9 or blocks
+    nothing = decontaminate.find_items(df, bench.limit(0)).collect()
+    assert len(nothing) == len(docs) and not any(r.contaminated or r["items"] for r in nothing)
+
+
+def test_decontamination_says_where_items_stand(spark):
+    item = "a b c d e f g h i j k l".split()
+    docs = [(1, "x y z " + " ".join(item) + " w"), (2, "x y z " + " ".join(item[1:]) + " w"), (3, "x y z " + " ".join([*item[:5], "new", *item[5:]]) + " w"), (4, "x y z " + " ".join([*item[:3], "q", *item[4:]]) + " " + " ".join(item))]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", F.lit("kept"))
+    got = {r.doc_id: (r["items"], r.items_found, r.edits, r.first_word, r.end_word) for r in decontaminate.find_items(df, bench, keep=("doc_id", "items")).collect()}
+    assert got == {1: ("kept", [7], [0], [3], [15]), 2: ("kept", [7], [1], [3], [14]), 3: ("kept", [7], [1], [3], [16]), 4: ("kept", [7], [0], [15], [27])}
 
 
 # ---------------------------------------------------------------- pipeline
@@ -391,4 +401,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(kept["mixing"]) <= clean and len(kept["mixing"]) > len(clean)
     found = corpus_pipeline.run(spark, str(data)).collect()
     assert sorted(r.doc_id for r in found) == sorted(kept["mixing"])
+    empty = spark.createDataFrame([], docs.schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(data)).count() == 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_copies", "decontamination", "mixing", "token_files"]
