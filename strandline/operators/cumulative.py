@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.frame import OrderedFrame
 from strandline.functions.missing import known
+from strandline.plans import scale
 
 METHODS = ("cumsum", "cumprod", "cummin", "cummax")
 _AGGREGATES = {"cumsum": F.sum, "cumprod": F.product, "cummin": F.min, "cummax": F.max}
@@ -21,17 +22,23 @@ def running(frame: OrderedFrame, kind: str, column: str, skipna: bool = True) ->
     return F.when(F.count(x).over(w) == F.count(F.lit(1)).over(w), value)
 
 
+def _cumulated(frame: OrderedFrame, kind: str, skipna: bool) -> DataFrame:
+    if scale.unpartitioned(frame):
+        return scale.running(frame, kind, skipna=skipna)
+    return frame.mapped(lambda c: running(frame, kind, c, skipna))
+
+
 def cumsum(frame: OrderedFrame, skipna: bool = True) -> DataFrame:
-    return frame.mapped(lambda c: running(frame, "cumsum", c, skipna))
+    return _cumulated(frame, "cumsum", skipna)
 
 
 def cumprod(frame: OrderedFrame, skipna: bool = True) -> DataFrame:
-    return frame.mapped(lambda c: running(frame, "cumprod", c, skipna))
+    return _cumulated(frame, "cumprod", skipna)
 
 
 def cummin(frame: OrderedFrame, skipna: bool = True) -> DataFrame:
-    return frame.mapped(lambda c: running(frame, "cummin", c, skipna))
+    return _cumulated(frame, "cummin", skipna)
 
 
 def cummax(frame: OrderedFrame, skipna: bool = True) -> DataFrame:
-    return frame.mapped(lambda c: running(frame, "cummax", c, skipna))
+    return _cumulated(frame, "cummax", skipna)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandline.frame import NUMERIC, OrderedFrame
 from strandline.functions.missing import known
+from strandline.plans import scale
 
 METHODS = ("isna", "isnull", "notna", "notnull", "fillna", "ffill", "bfill", "dropna")
 _FORWARD, _BACKWARD = ("ffill", "pad"), ("bfill", "backfill")
@@ -48,12 +49,25 @@ def filled(frame: OrderedFrame, c: str, method: str, limit: int | None = None) -
     return last(x, ignorenulls=True).over(near)
 
 
+def _filled_frame(frame: OrderedFrame, method: str, limit: int | None) -> DataFrame:
+    if not scale.unpartitioned(frame):
+        return frame.mapped(lambda c: filled(frame, c, method, limit))
+    if method not in _FORWARD + _BACKWARD:
+        raise ValueError(f"unknown fill method {method!r}")
+    if limit is None:
+        return scale.filled(frame, method)
+    if limit < 1:
+        raise ValueError("limit must be positive")
+    forward = method in _FORWARD
+    return scale.near(scale.deal(frame), limit * forward, limit * (not forward), lambda f: f.mapped(lambda c: filled(f, c, method, limit)))
+
+
 def ffill(frame: OrderedFrame, limit: int | None = None) -> DataFrame:
-    return frame.mapped(lambda c: filled(frame, c, "ffill", limit))
+    return _filled_frame(frame, "ffill", limit)
 
 
 def bfill(frame: OrderedFrame, limit: int | None = None) -> DataFrame:
-    return frame.mapped(lambda c: filled(frame, c, "bfill", limit))
+    return _filled_frame(frame, "bfill", limit)
 
 
 def fillna(frame: OrderedFrame, value=None, method: str | None = None, limit: int | None = None) -> DataFrame:
@@ -64,7 +78,11 @@ def fillna(frame: OrderedFrame, value=None, method: str | None = None, limit: in
     if (value is None) == (method is None):
         raise ValueError("either value or method is needed")
     if method is not None:
-        return frame.mapped(lambda c: filled(frame, c, method, limit))
+        return _filled_frame(frame, method, limit)
+    dealt, df, nth = None, frame.df, {}
+    if limit is not None and scale.unpartitioned(frame):
+        dealt = scale.deal(frame)
+        df, nth = scale.gaps_before(dealt, lambda c: _is_missing(frame, c))
 
     def made(c: str) -> Column:
         if isinstance(value, dict) and c not in value:
@@ -73,10 +91,10 @@ def fillna(frame: OrderedFrame, value=None, method: str | None = None, limit: in
         numeric = isinstance(frame.df.schema[c].dataType, NUMERIC)
         gap = _is_missing(frame, c)
         if limit is not None:
-            gap = gap & (F.sum(gap.cast("int")).over(frame.sofar()) <= limit)
+            gap = gap & ((nth[c] if dealt else F.sum(gap.cast("int")).over(frame.sofar())) <= limit)
         return F.when(gap, F.lit(float(v) if numeric else v)).otherwise(F.col(c).cast("double") if numeric else F.col(c))
 
-    return frame.mapped(made)
+    return dealt.result(df, {c: made(c) for c in frame.columns}) if dealt else frame.mapped(made)
 
 
 def dropna(frame: OrderedFrame, axis: int | str = 0, how: str = "any", thresh: int | None = None) -> DataFrame:

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.frame import OrderedFrame
 from strandline.functions import stats
 from strandline.functions.missing import finite, gated, known
+from strandline.plans import scale
 
 METHODS = ("corr", "cov")
-#: Pairs grow with the square of the columns; a plan of more expressions does not compile well.
-MAX_COLUMNS = 60
-#: Expressions that one select holds.
-CHUNK = 120
+#: Up to so many columns, each pair is an expression of its own; beyond, a row
+#: becomes a row for each pair, so plans do not grow with the number of pairs.
+WIDE = 12
 
 
 def _pair(kind: str, x: Column, y: Column, same: bool, ddof: int, over) -> Column:
@@ -30,46 +32,76 @@ def _long(values: dict[tuple[str, str], Column], columns: tuple[str, ...]) -> Co
     return F.array(*[F.struct(F.lit(i).alias("col_i"), F.lit(j).alias("col_j"), at(i, j).alias("value")) for i in columns for j in columns])
 
 
-def _checked(columns: tuple[str, ...]) -> tuple[str, ...]:
-    if len(columns) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} columns pair by pair; select fewer or use a long layout")
-    return columns
+def _pairs_of(columns: tuple[str, ...], value) -> Column:
+    """A row's pairs i <= j of values, as an array of (col_i, col_j, x, y)."""
+    pairs = [(i, j) for k, i in enumerate(columns) for j in columns[k:]]
+    return F.array(*[F.struct(F.lit(i).alias("col_i"), F.lit(j).alias("col_j"), value(i).alias("x"), value(j).alias("y")) for i, j in pairs])
+
+
+def _mirrored(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs i < j also the other way round."""
+    both = F.when(F.col("col_i") == F.col("col_j"), F.array(F.struct("col_i", "col_j"))).otherwise(F.array(F.struct("col_i", "col_j"), F.struct(F.col("col_j").alias("col_i"), F.col("col_i").alias("col_j"))))
+    return df.select(*keys, F.explode(both).alias("_p"), "value").select(*keys, "_p.*", "value")
 
 
-def rolling_pairs(frame: OrderedFrame, spec: WindowSpec, min_periods: int, kind: str, ddof: int = 1) -> DataFrame:
+def _either(kind: str, ddof: int, over) -> Column:
+    same = F.col("col_i") == F.col("col_j")
+    x, y = F.col("x"), F.col("y")
+    return F.when(same, _pair(kind, x, y, True, ddof, over)).otherwise(_pair(kind, x, y, False, ddof, over))
+
+
+def rolling_pairs(frame: OrderedFrame, rows: tuple[int, int], min_periods: int, kind: str, ddof: int = 1) -> DataFrame:
     """Long result: partition and order keys, col_i, col_j, value.
 
     Only pairs i <= j are computed; the other half is mirrored.
     """
-    columns = _checked(frame.columns)
-    over = lambda a: a.over(spec)
+    columns, low, high = frame.columns, *rows
     keys = list(dict.fromkeys([*frame.partition_by, *frame.order_by]))
+    least = max(min_periods, 1)
+    if len(columns) > WIDE:
+        long = frame.df.select(*keys, F.inline(_pairs_of(columns, finite)))
+        inner = replace(frame, df=long, partition_by=(*frame.partition_by, "col_i", "col_j"))
+        over = lambda a: a.over(inner.window().rowsBetween(low, high))
+        n = over(F.count(F.when(F.col("y").isNotNull(), F.col("x"))))
+        return _mirrored(long.select(*keys, "col_i", "col_j", gated(n, least, _either(kind, ddof, over)).alias("value")), keys)
     pairs = [(i, j) for k, i in enumerate(columns) for j in columns[k:]]
-    made = []
-    for i, j in pairs:
-        x, y = finite(i), finite(j)
-        n = over(F.count(F.when(y.isNotNull(), x)))
-        made.append(gated(n, max(min_periods, 1), _pair(kind, x, y, i == j, ddof, over)).alias(f"_pair_{len(made)}"))
-    df = frame.df
-    for at in range(0, len(made), CHUNK):
-        df = df.select("*", *made[at : at + CHUNK])
     values = {p: F.col(f"_pair_{k}") for k, p in enumerate(pairs)}
-    return df.select(*keys, F.inline(_long(values, columns)))
 
-
-def _matrix(frame: OrderedFrame, kind: str, min_periods: int, ddof: int, prepared=None) -> DataFrame:
-    columns = _checked(frame.columns)
-    value = prepared or (lambda c: known(c))
+    def operate(f: OrderedFrame) -> DataFrame:
+        over = lambda a: a.over(f.window().rowsBetween(low, high))
+        made = []
+        for i, j in pairs:
+            x, y = finite(i), finite(j)
+            n = over(F.count(F.when(y.isNotNull(), x)))
+            made.append(gated(n, least, _pair(kind, x, y, i == j, ddof, over)).alias(f"_pair_{len(made)}"))
+        return f.df.select("*", *made)
+
+    if scale.unpartitioned(frame):
+        wide = scale.near(scale.deal(frame), max(-low, 0), max(high, 0), operate, extra=tuple(f"_pair_{k}" for k in range(len(pairs))))
+    else:
+        wide = operate(frame)
+    return wide.select(*keys, F.inline(_long(values, columns)))
+
+
+def _matrix(frame: OrderedFrame, kind: str, min_periods: int, ddof: int) -> DataFrame:
+    columns, least, parts = frame.columns, max(min_periods, 1), list(frame.partition_by)
+    if len(columns) > WIDE:
+        long = frame.df.select(*parts, F.inline(_pairs_of(columns, known)))
+        n = F.count(F.when(F.col("y").isNotNull(), F.col("x")))
+        same, x, y = F.col("same"), F.col("x"), F.col("y")
+        cell = F.when(same, _pair(kind, x, y, True, ddof, stats.plain)).otherwise(_pair(kind, x, y, False, ddof, stats.plain))
+        found = long.withColumn("same", F.col("col_i") == F.col("col_j")).groupBy(*parts, "col_i", "col_j", "same").agg(gated(n, least, cell).alias("value"))
+        return _mirrored(found, parts)
     aggregates, names = [], {}
     for k, i in enumerate(columns):
         for j in columns[k:]:
-            x, y = value(i), value(j)
+            x, y = known(i), known(j)
             n = F.count(F.when(y.isNotNull(), x))
-            cell = gated(n, max(min_periods, 1), _pair(kind, x, y, i == j, ddof, stats.plain))
+            cell = gated(n, least, _pair(kind, x, y, i == j, ddof, stats.plain))
             names[i, j] = f"_pair_{len(aggregates)}"
             aggregates.append(cell.alias(names[i, j]))
-    one = frame.df.agg(*aggregates) if not frame.partition_by else frame.df.groupBy(*frame.partition_by).agg(*aggregates)
-    return one.select(*frame.partition_by, F.inline(_long({p: F.col(n) for p, n in names.items()}, columns)))
+    one = frame.df.agg(*aggregates) if not parts else frame.df.groupBy(*parts).agg(*aggregates)
+    return one.select(*parts, F.inline(_long({p: F.col(n) for p, n in names.items()}, columns)))
 
 
 def cov(frame: OrderedFrame, min_periods: int = 1, ddof: int = 1) -> DataFrame:
@@ -87,8 +119,6 @@ def corr(frame: OrderedFrame, method: str = "pearson", min_periods: int = 1) ->
         return _matrix(frame, "corr", min_periods, 1)
     if method != "spearman":
         raise ValueError(f"unknown method {method!r}")
-    from dataclasses import replace
-
     from strandline.operators.rank import rank
 
     return _matrix(replace(frame, df=rank(frame)), "corr", min_periods, 1)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandline.frame import OrderedFrame
 from strandline.functions.missing import divided, known
+from strandline.plans import scale
 
 METHODS = ("rank",)
 TIES = ("average", "min", "max", "first", "dense")
@@ -68,23 +69,37 @@ def rank(frame: OrderedFrame, method: str = "average", na_option: str = "keep",
         raise ValueError(f"unknown na_option {na_option!r}")
     if method == "first" and not frame.order_by:
         raise ValueError("method 'first' needs order_by")
-    if frame.partition_by or method == "first":
+    if frame.partition_by:
         return frame.mapped(lambda c: ranked(frame, c, method, na_option, ascending, pct))
     out = frame.df
     for c in frame.columns:
-        out = _ranked_by_counts(out, c, method, na_option, ascending, pct)
+        if method == "first":
+            out = _numbered_by_value(frame, out, c, na_option, ascending, pct)
+        else:
+            out = _ranked_by_counts(out, c, method, na_option, ascending, pct)
     return out.select(*frame.df.columns)
 
 
-def _ranked_by_counts(df: DataFrame, c: str, method: str, na_option: str, ascending: bool, pct: bool) -> DataFrame:
-    from strandline.plans.scale import running_over_ranges
+def _numbered_by_value(frame: OrderedFrame, df: DataFrame, c: str, na_option: str, ascending: bool, pct: bool) -> DataFrame:
+    """Rank "first": the number of rows up to each one, by value and then in the frame's order."""
+    x = known(c)
+    counted = F.when(x.isNotNull(), 1).otherwise(None if na_option == "keep" else 1).cast("long")
+    total = None
+    if pct:
+        total = df.agg(F.count(counted)).first()[0]
+    df = scale.running_over_ranges(df.withColumn("_counted", counted), [_ordered(x, ascending, na_option), *frame.order], {"_nth": ("sum", "_counted")})
+    value = F.when(F.col("_counted").isNotNull(), F.col("_nth").cast("double"))
+    value = divided(value, F.lit(float(total))) if pct else value
+    return df.select(*[value.alias(n) if n == c else F.col(n) for n in df.columns if n not in ("_counted", "_nth")])
+
 
+def _ranked_by_counts(df: DataFrame, c: str, method: str, na_option: str, ascending: bool, pct: bool) -> DataFrame:
     x = known(c)
     counts = df.groupBy(x.alias("_value")).agg(F.count(F.lit(1)).alias("_ties"))
     if na_option == "keep":
         counts = counts.where("_value is not null")
     counts = counts.withColumn("_one", F.lit(1).cast("long"))
-    summed = running_over_ranges(counts, [_ordered(F.col("_value"), ascending, na_option)], {"_upto": ("sum", "_ties"), "_nth": ("sum", "_one")})
+    summed = scale.running_over_ranges(counts, [_ordered(F.col("_value"), ascending, na_option)], {"_upto": ("sum", "_ties"), "_nth": ("sum", "_one")})
     value = {
         "average": F.col("_upto") - (F.col("_ties") - 1) / 2,
         "min": F.col("_upto") - F.col("_ties") + 1,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandline.frame import OrderedFrame
 from strandline.functions import stats
 from strandline.functions.missing import divided, known
+from strandline.plans import order_statistics
 
 METHODS = ("sum", "mean", "std", "var", "min", "max", "median", "prod", "quantile", "all", "any", "skew", "kurt", "sem", "agg", "aggregate", "apply")
 FUNCTIONS = ("sum", "mean", "std", "var", "min", "max", "median", "prod")
@@ -88,7 +89,18 @@ def max(frame: OrderedFrame, skipna: bool = True) -> DataFrame:  # noqa: A001
     return _reduced(frame, lambda c: reduction("max", c, skipna))
 
 
+def _one_row(frame: OrderedFrame, values: dict) -> DataFrame:
+    return frame.df.sparkSession.createDataFrame([tuple(values[c] for c in frame.columns)], ", ".join(f"`{c}` double" for c in frame.columns))
+
+
 def median(frame: OrderedFrame, skipna: bool = True) -> DataFrame:
+    """The middle value; of whole columns in a few passes that gather no column."""
+    if not frame.partition_by:
+        found = order_statistics.quantiles(frame.df, {c: known(c) for c in frame.columns}, [0.5], "linear")
+        if not skipna:
+            gaps = frame.df.agg(*[F.count(F.when(known(c).isNull(), 1)).alias(c) for c in frame.columns]).first()
+            found = {c: [None] if gaps[c] else v for c, v in found.items()}
+        return _one_row(frame, {c: v[0] for c, v in found.items()})
     return _reduced(frame, lambda c: reduction("median", c, skipna))
 
 
@@ -113,7 +125,17 @@ def any(frame: OrderedFrame, skipna: bool = True) -> DataFrame:  # noqa: A001
 
 
 def quantile(frame: OrderedFrame, q: float | Sequence[float] = 0.5, interpolation: str = "linear") -> DataFrame:
-    """Exact quantiles: one row for a number, a row with ``q`` for each of a list."""
+    """Exact quantiles: one row for a number, a row with ``q`` for each of a list.
+
+    Without partitions they come from a few passes that gather no column.
+    """
+    if not frame.partition_by:
+        qs = list(q) if isinstance(q, (list, tuple)) else [q]
+        found = order_statistics.quantiles(frame.df, {c: known(c) for c in frame.columns}, qs, interpolation)
+        if not isinstance(q, (list, tuple)):
+            return _one_row(frame, {c: v[0] for c, v in found.items()})
+        rows = [(float(v), *[found[c][i] for c in frame.columns]) for i, v in enumerate(qs)]
+        return frame.df.sparkSession.createDataFrame(rows, ", ".join(f"`{c}` double" for c in ("q", *frame.columns)))
     if not isinstance(q, (list, tuple)):
         return _reduced(frame, lambda c: stats.quantile(known(c), q, interpolation, stats.plain))
     if interpolation == "linear":

@@ -1,7 +1,9 @@
-"""Operators along a row: expressions over an array of the row's values, without any shuffle.
+"""Operators along a row, without any shuffle.
 
-``row(df, columns)`` takes columns; ``row_of(array)`` an array column, the
-layout for wide matrices.
+``row(df, columns)`` takes columns and gives plain expressions over them;
+``row_of(array)`` takes an array column, the layout for wide matrices: its
+reductions are expressions over the array, results of the row's own shape come
+from numpy, a batch of rows at a time.
 """
 
 from __future__ import annotations
@@ -13,6 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.missing import change, divided, known
+from strandline.operators.udf import row_batches
+
+#: More columns than this are handled as an array.
+WIDE = 24
 
 
 def _none() -> Column:
@@ -98,127 +104,269 @@ class Row:
         return self._gate(F.when(n >= 4, F.when(m2 == 0, 0.0).otherwise(value)), skipna)
 
     # ---------------------------------------------------------- same shape
-    def _running(self, merge, skipna: bool) -> Column:
-        """One pass: the state holds the output so far, the last value, and whether it is spoilt."""
-        start = F.struct(F.array().cast("array<double>").alias("out"), _none().alias("last"), F.lit(False).alias("spoilt"))
+    def _back(self, i: Column, periods: int) -> Column:
+        return F.when(i - periods >= 0, F.get(self.values, (i - periods).cast("int")))
 
-        def step(a: Column, v: Column) -> Column:
-            spoilt = a["spoilt"] | (v.isNull() & F.lit(not skipna))
-            now = F.when(v.isNull(), a["last"]).when(a["last"].isNull(), v).otherwise(merge(a["last"], v))
-            shown = F.when(v.isNotNull() & ~spoilt, now)
-            return F.struct(F.concat(a["out"], F.array(shown)).alias("out"), now.alias("last"), spoilt.alias("spoilt"))
+    def shift(self, periods: int = 1, fill_value: float | None = None) -> Column:
+        inside = lambda i: (i - periods >= 0) & (i - periods < F.size(self.values))
+        return F.transform(self.values, lambda _, i: F.when(inside(i), self._back(i, periods)).otherwise(F.lit(fill_value).cast("double")))
+
+    def diff(self, periods: int = 1) -> Column:
+        return F.transform(self.values, lambda v, i: v - self._back(i, periods))
+
+    @staticmethod
+    def _framed(frame: Row, statistic: str, least: int, ddof: int, q: float) -> Column:
+        """One window's statistic, as rolling windows have it."""
+        n = frame.count()
+        options = {"ddof": ddof} if statistic in ("std", "var", "sem") else {"q": q} if statistic == "quantile" else {}
+        value = getattr(frame, statistic)(**options)
+        if statistic == "sem":
+            value = divided(frame.std(ddof), F.sqrt(F.when(n > ddof, n - ddof)))
+        if statistic == "kurt":
+            value = F.when((n >= 4) & (frame.var() == 0), -3.0).otherwise(value)
+        if statistic == "sum" and least == 0:
+            return value
+        return F.when(n >= max(least, 1), value)
 
-        return F.aggregate(self.values, start, step, lambda a: a["out"])
+
+class Matrix(Row):
+    """An array column: results of the row's own shape are made batch by batch in numpy and pandas."""
+
+    def _made(self, operate) -> Column:
+        return row_batches(operate)(self.values)
+
+    def _running(self, kind: str, skipna: bool) -> Column:
+        return self._made(lambda d: getattr(d, kind)(axis=1, skipna=skipna))
 
     def cumsum(self, skipna: bool = True) -> Column:
-        return self._running(lambda a, v: a + v, skipna)
+        return self._running("cumsum", skipna)
 
     def cumprod(self, skipna: bool = True) -> Column:
-        return self._running(lambda a, v: a * v, skipna)
+        return self._running("cumprod", skipna)
 
     def cummin(self, skipna: bool = True) -> Column:
-        return self._running(lambda a, v: F.least(a, v), skipna)
+        return self._running("cummin", skipna)
 
     def cummax(self, skipna: bool = True) -> Column:
-        return self._running(lambda a, v: F.greatest(a, v), skipna)
+        return self._running("cummax", skipna)
 
-    def _back(self, i: Column, periods: int) -> Column:
-        return F.when(i - periods >= 0, F.get(self.values, (i - periods).cast("int")))
+    def ffill(self) -> Column:
+        return self._made(lambda d: d.ffill(axis=1))
+
+    def bfill(self) -> Column:
+        return self._made(lambda d: d.bfill(axis=1))
+
+    def pct_change(self, periods: int = 1, fill_method: str | None = "pad") -> Column:
+        full = Matrix(_filler(self, fill_method)) if fill_method else self
+        return F.transform(full.values, lambda v, i: change(v, full._back(i, periods)))
+
+    def rank(self, method: str = "average", na_option: str = "keep", ascending: bool = True, pct: bool = False) -> Column:
+        return self._made(lambda d: d.rank(axis=1, method=method, na_option=na_option, ascending=ascending, pct=pct))
+
+    def rolling(self, window: int, statistic: str, min_periods: int | None = None, center: bool = False, ddof: int = 1, q: float = 0.5) -> Column:
+        least = window if min_periods is None else min_periods
+        options = {"ddof": ddof} if statistic in ("std", "var", "sem") else {"q": q} if statistic == "quantile" else {}
+
+        def operate(d):
+            clean = d if statistic == "count" else d.replace([float("inf"), -float("inf")], float("nan"))
+            return getattr(clean.T.rolling(window, min_periods=least, center=center), statistic)(**options).T
+
+        return self._made(operate)
+
+
+def _filler(row, method: str) -> Column:
+    if method not in ("pad", "ffill", "bfill", "backfill"):
+        raise ValueError(f"unknown fill method {method!r}")
+    return row.ffill() if method in ("pad", "ffill") else row.bfill()
+
+
+def _total(terms: list[Column]) -> Column:
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return out
+
+
+def _least(cells: list[Column]) -> Column:
+    return cells[0] if len(cells) == 1 else F.least(*cells)
+
+
+def _greatest(cells: list[Column]) -> Column:
+    return cells[0] if len(cells) == 1 else F.greatest(*cells)
+
+
+class Cells(Row):
+    """Named columns: every result is an expression of its own, without arrays or lambdas inside."""
+
+    def __init__(self, cells: list[Column]):
+        super().__init__(F.array(*cells))
+        object.__setattr__(self, "cells", list(cells))
+
+    # ---------------------------------------------------------- reductions
+    def _gate(self, value: Column, skipna: bool) -> Column:
+        return value if skipna else F.when(self._whole(self.cells), value)
+
+    @staticmethod
+    def _whole(cells: list[Column]) -> Column:
+        out = F.lit(True)
+        for c in cells:
+            out = out & c.isNotNull()
+        return out
+
+    def _held(self) -> Column:
+        return F.sort_array(F.array_compact(self.values))
+
+    def count(self) -> Column:
+        return _total([F.when(c.isNotNull(), 1.0).otherwise(0.0) for c in self.cells])
+
+    def sum(self, skipna: bool = True) -> Column:
+        return self._gate(_total([F.coalesce(c, F.lit(0.0)) for c in self.cells]), skipna)
+
+    def prod(self, skipna: bool = True) -> Column:
+        out = F.lit(1.0)
+        for c in self.cells:
+            out = out * F.coalesce(c, F.lit(1.0))
+        return self._gate(out, skipna)
+
+    def _central(self, power: int) -> Column:
+        m, terms = divided(self.sum(), self.count()), []
+        for c in self.cells:
+            d = c - m
+            terms.append(F.coalesce({2: d * d, 3: d * d * d, 4: d * d * d * d}[power], F.lit(0.0)))
+        return _total(terms)
+
+    def var(self, ddof: int = 1, skipna: bool = True) -> Column:
+        n = self.count()
+        return self._gate(F.when(n > ddof, divided(self._central(2), n - ddof)), skipna)
+
+    def min(self, skipna: bool = True) -> Column:
+        return self._gate(_least(self.cells), skipna)
+
+    def max(self, skipna: bool = True) -> Column:
+        return self._gate(_greatest(self.cells), skipna)
+
+    def quantile(self, q: float = 0.5, skipna: bool = True) -> Column:
+        held = self._held()
+        place = F.lit(q) * (F.size(held) - 1)
+        low, high = F.get(held, F.floor(place).cast("int")), F.get(held, F.ceil(place).cast("int"))
+        return self._gate(F.when(F.size(held) > 0, low + (high - low) * (place - F.floor(place))), skipna)
+
+    def all(self, skipna: bool = True) -> Column:
+        out = F.lit(True)
+        for c in self.cells:
+            out = out & F.coalesce(c != 0, F.lit(True))
+        return out
+
+    def any(self, skipna: bool = True) -> Column:
+        out = F.lit(False)
+        for c in self.cells:
+            out = out | F.coalesce(c != 0, F.lit(not skipna))
+        return out
+
+    # ---------------------------------------------------------- same shape
+    def _upto(self, make, skipna: bool) -> Column:
+        out = []
+        for i, c in enumerate(self.cells):
+            sofar = self.cells[: i + 1]
+            out.append(F.when(c.isNotNull() if skipna else self._whole(sofar), make(sofar)))
+        return F.array(*out)
+
+    def cumsum(self, skipna: bool = True) -> Column:
+        return self._upto(lambda cells: Cells(cells).sum(), skipna)
+
+    def cumprod(self, skipna: bool = True) -> Column:
+        return self._upto(lambda cells: Cells(cells).prod(), skipna)
+
+    def cummin(self, skipna: bool = True) -> Column:
+        return self._upto(_least, skipna)
+
+    def cummax(self, skipna: bool = True) -> Column:
+        return self._upto(_greatest, skipna)
+
+    def _at(self, i: int) -> Column | None:
+        return self.cells[i] if 0 <= i < len(self.cells) else None
 
     def shift(self, periods: int = 1, fill_value: float | None = None) -> Column:
-        inside = lambda i: (i - periods >= 0) & (i - periods < F.size(self.values))
-        return F.transform(self.values, lambda _, i: F.when(inside(i), self._back(i, periods)).otherwise(F.lit(fill_value).cast("double")))
+        return F.array(*[F.lit(fill_value).cast("double") if self._at(i - periods) is None else self._at(i - periods) for i in range(len(self.cells))])
 
     def diff(self, periods: int = 1) -> Column:
-        return F.transform(self.values, lambda v, i: v - self._back(i, periods))
+        return F.array(*[_none() if self._at(i - periods) is None else c - self._at(i - periods) for i, c in enumerate(self.cells)])
+
+    def _forward(self) -> list[Column]:
+        return [F.coalesce(*self.cells[i::-1]) for i in range(len(self.cells))]
+
+    def _backward(self) -> list[Column]:
+        return [F.coalesce(*self.cells[i:]) for i in range(len(self.cells))]
 
     def ffill(self) -> Column:
-        return self._filled(self.values)
+        return F.array(*self._forward())
 
     def bfill(self) -> Column:
-        return F.reverse(self._filled(F.reverse(self.values)))
-
-    @staticmethod
-    def _filled(values: Column) -> Column:
-        start = F.struct(F.array().cast("array<double>").alias("out"), _none().alias("last"))
-        return F.aggregate(values, start, lambda a, v: F.struct(F.concat(a["out"], F.array(F.coalesce(v, a["last"]))).alias("out"), F.coalesce(v, a["last"]).alias("last")), lambda a: a["out"])
+        return F.array(*self._backward())
 
     def pct_change(self, periods: int = 1, fill_method: str | None = "pad") -> Column:
-        full = Row({"pad": self.ffill, "ffill": self.ffill, "bfill": self.bfill, "backfill": self.bfill}[fill_method]()) if fill_method else self
-        return F.transform(full.values, lambda v, i: change(v, full._back(i, periods)))
+        if fill_method not in (None, "pad", "ffill", "bfill", "backfill"):
+            raise ValueError(f"unknown fill method {fill_method!r}")
+        full = self if fill_method is None else Cells(self._forward() if fill_method in ("pad", "ffill") else self._backward())
+        return F.array(*[_none() if full._at(i - periods) is None else change(c, full._at(i - periods)) for i, c in enumerate(full.cells)])
 
     def rank(self, method: str = "average", na_option: str = "keep", ascending: bool = True, pct: bool = False) -> Column:
-        values, kept = self.values, na_option == "keep"
-        seen = self._seen()
-        gaps = F.size(values) - F.size(seen)
-        before = (lambda u, v: u < v) if ascending else (lambda u, v: u > v)
-        # Missing values that rank at the top stand before all others.
-        ahead = gaps if na_option == "top" else F.lit(0)
-
-        def place(v: Column, i: Column) -> Column:
-            less = F.size(F.filter(seen, lambda u: before(u, v)))
-            same = F.size(F.filter(seen, lambda u: u == v))
-            distinct = F.size(F.filter(F.array_distinct(seen), lambda u: before(u, v)))
-            earlier = F.size(F.filter(F.slice(values, F.lit(1), i), lambda u: u == v))
-            none_earlier = F.size(F.filter(F.slice(values, F.lit(1), i), lambda u: u.isNull()))
-            gap_ahead = F.when(gaps > 0, 1).otherwise(0) if na_option == "top" else F.lit(0)
-            none_less = F.lit(0) if na_option == "top" else F.size(seen)
-            none_distinct = F.lit(0) if na_option == "top" else F.size(F.array_distinct(seen))
-            found = {
-                "average": ahead + less + (same + 1) / 2,
-                "min": ahead + less + 1,
-                "max": ahead + less + same,
-                "first": ahead + less + earlier + 1,
-                "dense": gap_ahead + distinct + 1,
-            }[method]
-            none = {
-                "average": none_less + (gaps + 1) / 2,
-                "min": none_less + 1,
-                "max": none_less + gaps,
-                "first": none_less + none_earlier + 1,
-                "dense": none_distinct + 1,
-            }[method]
-            value = F.when(v.isNotNull(), found.cast("double")).otherwise(_none() if kept else none.cast("double"))
-            if not pct:
-                return value
-            total = F.size(F.array_distinct(seen)) + (F.lit(0) if kept else F.when(gaps > 0, 1).otherwise(0)) if method == "dense" else (F.size(seen) if kept else F.size(values))
-            return divided(value, total.cast("double"))
-
-        return F.transform(values, place)
+        cells, kept, top = self.cells, na_option == "keep", na_option == "top"
+        k, seen = len(cells), self.count()
+        gaps = F.lit(float(k)) - seen
+        one = lambda condition: F.when(condition, 1.0).otherwise(0.0)
+        first = lambda i: ~self._equal_before(i)  # noqa: E731, the first of its value in the row
+        distinct = _total([one(c.isNotNull() & first(i)) for i, c in enumerate(cells)]) if method == "dense" else None
+        any_gap, out = one(gaps > 0), []
+        for i, c in enumerate(cells):
+            others = [(j, d) for j, d in enumerate(cells) if j != i]
+            less = [one(d < c if ascending else d > c) for _, d in others]
+            same = [one(d == c) for _, d in others]
+            earlier = [one(d == c) for j, d in others if j < i]
+            gaps_before = [one(cells[j].isNull()) for j in range(i)]
+            sum_of = lambda terms: _total(terms) if terms else F.lit(0.0)
+            ahead, none_ahead = (gaps, F.lit(0.0)) if top else (F.lit(0.0), seen)
+            if method == "dense":
+                found = (any_gap if top else F.lit(0.0)) + sum_of([one((d < c if ascending else d > c) & first(j)) for j, d in others]) + 1
+                none = (F.lit(0.0) if top else distinct) + 1
+            else:
+                found = ahead + sum_of(less) + {"average": sum_of(same) / 2 + 1, "min": F.lit(1.0), "max": sum_of(same) + 1, "first": sum_of(earlier) + 1}[method]
+                none = none_ahead + {"average": (gaps + 1) / 2, "min": F.lit(1.0), "max": gaps, "first": sum_of(gaps_before) + 1}[method]
+            value = F.when(c.isNotNull(), found).otherwise(_none() if kept else none)
+            if pct:
+                total = (distinct if kept else distinct + any_gap) if method == "dense" else (seen if kept else F.lit(float(k)))
+                value = divided(value, total)
+            out.append(value)
+        return F.array(*out)
+
+    def _equal_before(self, i: int) -> Column:
+        out = F.lit(False)
+        for d in self.cells[:i]:
+            out = out | F.coalesce(d == self.cells[i], F.lit(False))
+        return out
 
     def rolling(self, window: int, statistic: str, min_periods: int | None = None, center: bool = False, ddof: int = 1, q: float = 0.5) -> Column:
         """A rolling statistic along the row; infinities count as missing, as in all windows."""
         least = window if min_periods is None else min_periods
-        shift = (window - 1) // 2 if center else 0
-        clean = F.transform(self.values, lambda v: F.when(F.abs(v) != float("inf"), v))
-
-        def at(_: Column, i: Column) -> Column:
-            low = F.greatest(i + 1 - window + shift, F.lit(0))
-            high = F.least(i + shift, F.size(clean) - 1)
-            frame = Row(F.slice(clean, low + 1, high - low + 1))
-            n = frame.count()
+        shift, k, out = (window - 1) // 2 if center else 0, len(self.cells), []
+        clean = [F.when(F.abs(c) != float("inf"), c) for c in self.cells]
+        for i in range(k):
+            low, high = max(i + 1 - window + shift, 0), min(i + shift, k - 1)
             if statistic == "count":
-                raw = Row(F.slice(self.values, low + 1, high - low + 1))
-                return F.when(high - low + 1 >= least, raw.count())
-            options = {"ddof": ddof} if statistic in ("std", "var", "sem") else {"q": q} if statistic == "quantile" else {}
-            value = getattr(frame, statistic)(**options)
-            if statistic == "sem":
-                value = divided(frame.std(ddof), F.sqrt(F.when(n > ddof, n - ddof)))
-            if statistic == "kurt":
-                value = F.when((n >= 4) & (frame.var() == 0), -3.0).otherwise(value)
-            if statistic == "sum" and least == 0:
-                return value
-            return F.when(n >= max(least, 1), value)
-
-        return F.transform(clean, at)
+                out.append(Cells(self.cells[low : high + 1]).count() if high - low + 1 >= least else _none())
+                continue
+            out.append(self._framed(Cells(clean[low : high + 1]), statistic, least, ddof, q) if high >= low else _none())
+        return F.array(*out)
 
 
 def row(columns: Sequence[str]) -> Row:
-    return Row(F.array(*[known(c) for c in columns]))
+    """The values of named columns; from WIDE columns on as an array."""
+    cells = [known(c) for c in columns]
+    return Cells(cells) if len(cells) <= WIDE else Matrix(F.array(*cells))
 
 
 def row_of(array: str) -> Row:
-    return Row(F.transform(F.col(array).cast("array<double>"), lambda v: F.when(~F.isnan(v), v)))
+    return Matrix(F.transform(F.col(array).cast("array<double>"), lambda v: F.when(~F.isnan(v), v)))
 
 
 def spread(df: DataFrame, columns: Sequence[str], values: Column) -> DataFrame:

@@ -34,6 +34,29 @@ def row_function(func):
     return lambda columns: _known_result(call(F.array(*[known(c) for c in columns])))
 
 
+def row_batches(func):
+    """A function of a pandas frame of rows (missing: NaN) that gives a frame of the same shape, for an array column.
+
+    Rows of a batch that have the same length are handed over together.
+    """
+
+    def batch(values: pd.Series) -> pd.Series:
+        out = [None] * len(values)
+        rows = [None if v is None else np.asarray([np.nan if x is None else x for x in v] if v.dtype == object else v, np.float64) for v in values]
+        sizes = {}
+        for at, r in enumerate(rows):
+            if r is not None:
+                sizes.setdefault(len(r), []).append(at)
+        for at in sizes.values():
+            made = func(pd.DataFrame(np.stack([rows[i] for i in at]))).to_numpy(np.float64)
+            for i, r in zip(at, made, strict=True):
+                out[i] = r
+        return pd.Series(out, dtype=object)
+
+    call = F.pandas_udf(batch, "array<double>")
+    return lambda values: F.transform(call(values), lambda v: F.when(~F.isnan(v), v))
+
+
 def vectorized(func):
     """Decorator: a numpy function of whole batches of a column as a column function."""
 

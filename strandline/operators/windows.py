@@ -8,6 +8,8 @@ asked for.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from copy import copy
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from strandline.frame import OrderedFrame
 from strandline.functions import stats
 from strandline.functions.missing import finite, gated, known
+from strandline.plans import scale
 
 STATISTICS = ("sum", "mean", "std", "var", "min", "max", "count", "skew", "kurt", "median", "quantile", "sem")
 
@@ -29,9 +32,6 @@ class _Windowed:
     def _spec(self) -> WindowSpec:
         raise NotImplementedError
 
-    def _rows(self) -> DataFrame | None:
-        return None
-
     def statistic(self, name: str, column: str, ddof: int = 1, q: float = 0.5, interpolation: str = "linear") -> Column:
         """One statistic of one column as an expression."""
         w = self._spec()
@@ -62,17 +62,19 @@ class _Windowed:
             return gated(n, max(least, ddof + 1), stats.standard_error(x, known(column), ddof, over))
         raise ValueError(f"unknown statistic {name!r}")
 
-    def _result(self, df: DataFrame) -> DataFrame:
-        return df
-
     def _one(self, name: str, **options) -> DataFrame:
-        return self._result(self.frame.mapped(lambda c: self.statistic(name, c, **options)))
+        return self.frame.mapped(lambda c: self.statistic(name, c, **options))
 
     def agg(self, names: Iterable[str]) -> DataFrame:
         """Several statistics at once: columns ``<column>_<statistic>`` beside all others."""
-        f = self.frame
-        made = [self.statistic(s, c).alias(f"{c}_{s}") for c in f.columns for s in names]
-        return self._result(f.df.select(*[F.col(c) for c in f.df.columns if c not in f.columns], *made))
+        f, names = self.frame, list(names)
+        if not scale.unpartitioned(f):
+            made = [self.statistic(s, c).alias(f"{c}_{s}") for c in f.columns for s in names]
+            return f.df.select(*[F.col(c) for c in f.df.columns if c not in f.columns], *made)
+        # Without partitions each statistic gets a copy of the column, and all of them one pass.
+        copies = {f"{c}_{s}": (c, s) for c in f.columns for s in names}
+        df = f.df.select(*[F.col(c) for c in f.df.columns if c not in f.columns], *[F.col(c).alias(n) for n, (c, _) in copies.items()])
+        return self._over_ranges(replace(f, df=df, columns=tuple(copies)), lambda n: copies[n][1], {})
 
     def sum(self) -> DataFrame:
         return self._one("sum")
@@ -135,7 +137,17 @@ class Rolling(_Windowed):
     def _spec(self) -> WindowSpec:
         return self.frame.window().rowsBetween(self.low, self.high)
 
+    def _over_ranges(self, frame: OrderedFrame, name_of, options: dict) -> DataFrame:
+        def operate(f: OrderedFrame) -> DataFrame:
+            inner = copy(self)
+            inner.frame = f
+            return f.mapped(lambda c: inner.statistic(name_of(c), c, **options))
+
+        return scale.near(scale.deal(frame), max(-self.low, 0), max(self.high, 0), operate, self.step)
+
     def _one(self, name: str, **options) -> DataFrame:
+        if scale.unpartitioned(self.frame):
+            return self._over_ranges(self.frame, lambda _: name, options)
         if self.step == 1:
             return super()._one(name, **options)
         f, place = self.frame, "_strandline_place"
@@ -144,14 +156,15 @@ class Rolling(_Windowed):
         return out.where((F.col(place) - 1) % self.step == 0).drop(place)
 
     def corr(self) -> DataFrame:
-        from strandline.operators.pairwise import rolling_pairs
-
-        return rolling_pairs(self.frame, self._spec(), self.min_periods, "corr")
+        return self._pairs("corr", 1)
 
     def cov(self, ddof: int = 1) -> DataFrame:
+        return self._pairs("cov", ddof)
+
+    def _pairs(self, kind: str, ddof: int) -> DataFrame:
         from strandline.operators.pairwise import rolling_pairs
 
-        return rolling_pairs(self.frame, self._spec(), self.min_periods, "cov", ddof)
+        return rolling_pairs(self.frame, (self.low, self.high), self.min_periods, kind, ddof)
 
 
 class Expanding(_Windowed):
@@ -164,3 +177,19 @@ class Expanding(_Windowed):
 
     def _spec(self) -> WindowSpec:
         return self.frame.window().rowsBetween(W.unboundedPreceding, 0)
+
+    def _over_ranges(self, frame: OrderedFrame, name_of, options: dict) -> DataFrame:
+        names = {name_of(c) for c in frame.columns}
+        if names & {"median", "quantile"}:
+            # Quantiles of all rows so far cannot be merged from parts: one task holds them.
+            inner = copy(self)
+            inner.frame = frame
+            return frame.mapped(lambda c: inner.statistic(name_of(c), c, **options))
+        if unknown := names - set(STATISTICS):
+            raise ValueError(f"unknown statistic {sorted(unknown)}")
+        return scale.expanding(frame, name_of, self.min_periods, options.get("ddof", 1))
+
+    def _one(self, name: str, **options) -> DataFrame:
+        if scale.unpartitioned(self.frame):
+            return self._over_ranges(self.frame, lambda _: name, options)
+        return super()._one(name, **options)

@@ -4,6 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from strandline.operators import rowwise
 
 warnings.simplefilter("ignore", FutureWarning)
@@ -16,10 +18,10 @@ PDF.iloc[2] = [1, np.nan, 3, 1, 1, 0]
 PDF.iloc[3] = 0.0
 
 
-@pytest.fixture(scope="module")
-def made(spark):
-    df = spark.createDataFrame(PDF.assign(i=range(len(PDF))))
-    row = rowwise.row(list("abcdef"))
+@pytest.fixture(scope="module", params=["columns", "array"])
+def made(spark, request):
+    df = spark.createDataFrame(PDF.assign(i=range(len(PDF)))).withColumn("all", F.array(*"abcdef"))
+    row = rowwise.row(list("abcdef")) if request.param == "columns" else rowwise.row_of("all")
 
     def run(value):
         got = [r.v for r in df.select("i", value(row).alias("v")).orderBy("i").collect()]
@@ -67,3 +69,20 @@ def test_rank(made, method, na_option):
 def test_rolling(made, name):
     want = getattr(PDF.T.rolling(3, min_periods=2), name)().T
     np.testing.assert_allclose(made(lambda r: r.rolling(3, name, 2)), want, rtol=1e-8, atol=1e-9)
+
+
+@pytest.mark.parametrize("name", "std skew kurt sem".split())
+def test_rolling_centered(made, name):
+    want = getattr(PDF.T.rolling(5, min_periods=3, center=True), name)().T
+    np.testing.assert_allclose(made(lambda r: r.rolling(5, name, 3, center=True)), want, rtol=1e-8, atol=1e-9)
+
+
+def test_many_columns(spark):
+    pdf = pd.DataFrame(_RNG.normal(size=(20, 40)), columns=[f"c{i}" for i in range(40)]).mask(_RNG.random((20, 40)) < 0.2)
+    df = spark.createDataFrame(pdf.assign(i=range(20)))
+    r = rowwise.row(list(pdf.columns))
+    got = df.select("i", r.rank().alias("rank"), r.rolling(7, "median", 2).alias("roll"), r.mean().alias("mean")).orderBy("i").toPandas()
+    cells = lambda c: np.array([[np.nan if x is None else x for x in v] for v in got[c]], float)
+    np.testing.assert_allclose(cells("rank"), pdf.rank(axis=1))
+    np.testing.assert_allclose(cells("roll"), pdf.T.rolling(7, min_periods=2).median().T)
+    np.testing.assert_allclose(got["mean"], pdf.mean(axis=1))
