@@ -426,11 +426,11 @@ def _row_value(make) -> Query:
     return query
 
 
-def _row_values(make, digits: int = 4) -> Query:
+def _row_values(make, digits: int = 4, off: float = OFF_TIES) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         df, row = _row_frame(spark, sf_dir)
         made = df.select("l_suppkey", *LINE_KEY, make(row).alias("_v"))
-        return made.select("l_suppkey", *LINE_KEY, *[F.round(F.get("_v", F.lit(i)) + OFF_TIES, digits).alias(f"x{i}") for i in range(len(LINE_VALUES))])
+        return made.select("l_suppkey", *LINE_KEY, *[F.round(F.get("_v", F.lit(i)) + off, digits).alias(f"x{i}") for i in range(len(LINE_VALUES))])
 
     return query
 
@@ -460,8 +460,8 @@ for _name, _make, _sql in (
     _add(f"row_{_name}", _row_value(_make), _row_sql(_sql))
 
 
-def _rows_sql(cells: list[str], digits: int = 4) -> str:
-    made = ", ".join(f"round(({c}) + 3.1e-8, {digits}) AS x{i}" for i, c in enumerate(cells))
+def _rows_sql(cells: list[str], digits: int = 4, off: float = OFF_TIES) -> str:
+    made = ", ".join(f"round(({c}) + {off}, {digits}) AS x{i}" for i, c in enumerate(cells))
     return f"WITH l AS (SELECT {_KEYS}, {', '.join(f'{c} AS c{i}' for i, c in enumerate(_CELLS))} FROM lineitem) SELECT {_KEYS}, {made} FROM l"
 
 
@@ -522,19 +522,19 @@ _LISTED = {
 }
 
 
-def _row_rolling_sql(expression: str, least: int, low: int, high: int, digits: int) -> str:
+def _row_rolling_sql(expression: str, least: int, low: int, high: int, digits: int, off: float) -> str:
     cells = []
     for i in range(4):
         held = f"list_filter([{', '.join(f'c{k}' for k in range(max(i + low, 0), min(i + high, 3) + 1))}], lambda e: e IS NOT NULL)"
         cells.append(f"(SELECT CASE WHEN len(v) >= {least} THEN {expression} END FROM (SELECT {held} AS v))")
-    return _rows_sql(cells, digits)
+    return _rows_sql(cells, digits, off)
 
 
 for _name, (_sql, _least) in _LISTED.items():
-    _digits = 1 if _name == "var" else 4  # of numbers up to 1e10
+    _digits, _off = (1, 0.0123) if _name == "var" else (4, OFF_TIES)  # variances are up to 1e10
     if _name != "mean":
-        _add(f"row_rolling_{_name}", _row_values(lambda r, n=_name: r.rolling(4, n, 2), _digits), _row_rolling_sql(_sql, _least, -3, 0, _digits))
-    _add(f"row_rolling_{_name}_centered", _row_values(lambda r, n=_name: r.rolling(3, n, 2, center=True), _digits), _row_rolling_sql(_sql, _least, -1, 1, _digits))
+        _add(f"row_rolling_{_name}", _row_values(lambda r, n=_name: r.rolling(4, n, 2), _digits, _off), _row_rolling_sql(_sql, _least, -3, 0, _digits, _off))
+    _add(f"row_rolling_{_name}_centered", _row_values(lambda r, n=_name: r.rolling(3, n, 2, center=True), _digits, _off), _row_rolling_sql(_sql, _least, -1, 1, _digits, _off))
 _add("row_rolling_count", _row_values(lambda r: r.rolling(2, "count", 1)), _rows_sql(["CASE WHEN c0 IS NULL THEN 0.0::DOUBLE ELSE 1 END", *[f"(CASE WHEN c{i} IS NULL THEN 0.0::DOUBLE ELSE 1 END) + (CASE WHEN c{i - 1} IS NULL THEN 0 ELSE 1 END)" for i in range(1, 4)]]))
 _add(
     "row_wide",
