@@ -11,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,8 +159,9 @@ class Matrix(Row):
         return self._made(lambda d: d.bfill(axis=1))
 
     def pct_change(self, periods: int = 1, fill_method: str | None = "pad") -> Column:
-        full = Matrix(_filler(self, fill_method)) if fill_method else self
-        return F.transform(full.values, lambda v, i: change(v, full._back(i, periods)))
+        if fill_method not in (None, "pad", "ffill", "bfill", "backfill"):
+            raise ValueError(f"unknown fill method {fill_method!r}")
+        return self._made(lambda d: _changes(d if fill_method is None else d.ffill(axis=1) if fill_method in ("pad", "ffill") else d.bfill(axis=1), periods))
 
     def rank(self, method: str = "average", na_option: str = "keep", ascending: bool = True, pct: bool = False) -> Column:
         return self._made(lambda d: d.rank(axis=1, method=method, na_option=na_option, ascending=ascending, pct=pct))
@@ -174,10 +177,13 @@ class Matrix(Row):
         return self._made(operate)
 
 
-def _filler(row, method: str) -> Column:
-    if method not in ("pad", "ffill", "bfill", "backfill"):
-        raise ValueError(f"unknown fill method {method!r}")
-    return row.ffill() if method in ("pad", "ffill") else row.bfill()
+def _changes(frame: pd.DataFrame, periods: int) -> pd.DataFrame:
+    """Relative changes along the rows, with the same rules as the column function ``change``."""
+    new, old = frame.to_numpy(), frame.shift(periods, axis=1).to_numpy()
+    with np.errstate(all="ignore"):
+        out = (new - old) / old
+    out = np.where(np.isinf(old), np.where(np.isfinite(new), -1.0, np.nan), out)
+    return pd.DataFrame(np.where((old == 0) & ~np.isnan(new), np.where(new == 0, np.nan, np.copysign(np.inf, new)), out))
 
 
 def _total(terms: list[Column]) -> Column:
