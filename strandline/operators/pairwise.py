@@ -32,10 +32,14 @@ def _long(values: dict[tuple[str, str], Column], columns: tuple[str, ...]) -> Co
     return F.array(*[F.struct(F.lit(i).alias("col_i"), F.lit(j).alias("col_j"), at(i, j).alias("value")) for i in columns for j in columns])
 
 
-def _pairs_of(columns: tuple[str, ...], value) -> Column:
-    """A row's pairs i <= j of values, as an array of (col_i, col_j, x, y)."""
-    pairs = [(i, j) for k, i in enumerate(columns) for j in columns[k:]]
-    return F.array(*[F.struct(F.lit(i).alias("col_i"), F.lit(j).alias("col_j"), value(i).alias("x"), value(j).alias("y")) for i, j in pairs])
+def _in_pairs(df: DataFrame, keys: list[str], columns: tuple[str, ...], value) -> DataFrame:
+    """A row for each row and pair i <= j of columns: keys, col_i, col_j, x, y."""
+    last = F.lit(len(columns) - 1)
+    cells = df.select(*keys, F.array(*[value(c) for c in columns]).alias("_cells"))
+    pairs = cells.select("*", F.explode(F.sequence(F.lit(0), last)).alias("_i")).select("*", F.explode(F.sequence(F.col("_i"), last)).alias("_j"))
+    names = F.array(*[F.lit(c) for c in columns])
+    at = lambda a, i: F.get(a, F.col(i))
+    return pairs.select(*keys, at(names, "_i").alias("col_i"), at(names, "_j").alias("col_j"), at(F.col("_cells"), "_i").alias("x"), at(F.col("_cells"), "_j").alias("y"))
 
 
 def _mirrored(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,7 +63,7 @@ def rolling_pairs(frame: OrderedFrame, rows: tuple[int, int], min_periods: int,
     keys = list(dict.fromkeys([*frame.partition_by, *frame.order_by]))
     least = max(min_periods, 1)
     if len(columns) > WIDE:
-        long = frame.df.select(*keys, F.inline(_pairs_of(columns, finite)))
+        long = _in_pairs(frame.df, keys, columns, finite)
         inner = replace(frame, df=long, partition_by=(*frame.partition_by, "col_i", "col_j"))
         over = lambda a: a.over(inner.window().rowsBetween(low, high))
         n = over(F.count(F.when(F.col("y").isNotNull(), F.col("x"))))
@@ -86,7 +90,7 @@ def rolling_pairs(frame: OrderedFrame, rows: tuple[int, int], min_periods: int,
 def _matrix(frame: OrderedFrame, kind: str, min_periods: int, ddof: int) -> DataFrame:
     columns, least, parts = frame.columns, max(min_periods, 1), list(frame.partition_by)
     if len(columns) > WIDE:
-        long = frame.df.select(*parts, F.inline(_pairs_of(columns, known)))
+        long = _in_pairs(frame.df, parts, columns, known)
         n = F.count(F.when(F.col("y").isNotNull(), F.col("x")))
         same, x, y = F.col("same"), F.col("x"), F.col("y")
         cell = F.when(same, _pair(kind, x, y, True, ddof, stats.plain)).otherwise(_pair(kind, x, y, False, ddof, stats.plain))

@@ -353,6 +353,8 @@ class Cells(Row):
 
     def rolling(self, window: int, statistic: str, min_periods: int | None = None, center: bool = False, ddof: int = 1, q: float = 0.5) -> Column:
         """A rolling statistic along the row; infinities count as missing, as in all windows."""
+        if statistic in ("skew", "kurt"):  # as expressions too large to compile
+            return Matrix(self.values).rolling(window, statistic, min_periods, center, ddof, q)
         least = window if min_periods is None else min_periods
         shift, k, out = (window - 1) // 2 if center else 0, len(self.cells), []
         clean = [F.when(F.abs(c) != float("inf"), c) for c in self.cells]

@@ -531,7 +531,7 @@ def _row_rolling_sql(expression: str, least: int, low: int, high: int, digits: i
 
 
 for _name, (_sql, _least) in _LISTED.items():
-    _digits, _off = (1, 0.0123) if _name == "var" else (4, OFF_TIES)  # variances are up to 1e10
+    _digits, _off = (-2, 1.23) if _name == "var" else (4, OFF_TIES)  # variances are up to 1e10
     if _name != "mean":
         _add(f"row_rolling_{_name}", _row_values(lambda r, n=_name: r.rolling(4, n, 2), _digits, _off), _row_rolling_sql(_sql, _least, -3, 0, _digits, _off))
     _add(f"row_rolling_{_name}_centered", _row_values(lambda r, n=_name: r.rolling(3, n, 2, center=True), _digits, _off), _row_rolling_sql(_sql, _least, -1, 1, _digits, _off))
