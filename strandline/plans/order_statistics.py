@@ -12,8 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The sketch's accuracy: a bracket holds some four rows of so many.
-ACCURACY = 10_000
+#: The sketch's accuracy: a bracket holds some six rows of so many.
+ACCURACY = 1_000
 #: Values of a bracket that are looked at one by one.
 FEW = 50_000
 
