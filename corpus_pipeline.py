@@ -17,29 +17,41 @@ from strandline.llm.token_files import token_file_digests
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without letters or with a tie go."""
+    """Documents whose language is recognised; null texts, those without letters or with too narrow a margin go.
+
+    Repeated rows and equal texts are judged alike; without any labelled
+    language nothing is recognised, and nothing stays.
+    """
     found = identify(docs, fitted(docs), keep=DOCUMENT_COLUMNS)
     return found.where("not rejected").select(*DOCUMENT_COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies."""
+    """One document of each group of copies and near copies: that of the least id (null first), then text hash.
+
+    Of repeated rows one stays, the one whose other columns come first; empty
+    and null texts are copies of each other.
+    """
     return one_of_each(pick(docs, *DOCUMENT_COLUMNS)).select(*DOCUMENT_COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; empty texts and an empty benchmark leave everything."""
     found = find_items(docs, table(spark, sf_dir, "benchmark"), keep=DOCUMENT_COLUMNS)
     return found.where("not contaminated").select(*DOCUMENT_COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to their sources' target weights."""
+    """Documents repeated to their sources' target weights.
+
+    A null source is a source, the last; documents without words go where
+    their source's share is below one epoch; equal rows count one by one.
+    """
     return mixed_rows(pick(docs, *DOCUMENT_COLUMNS)).select(*DOCUMENT_COLUMNS)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's place in the token files, and a digest of its ids read back."""
+    """Each document's place in the token files, and a digest of its ids read back; a null text has the end id only."""
     return token_file_digests(docs)
 
 
