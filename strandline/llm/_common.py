@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from functools import wraps
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 
 from strandline.plans.tables import discard, fresh_path, shared_dir, written
 
-__all__ = ["DOCUMENT_COLUMNS", "discard", "fresh_path", "id_crc32", "least_key", "maybe_among", "numbered", "once", "pick", "restored", "result_names", "shared_dir", "spread_join", "steps", "table", "with_place", "written"]
+__all__ = ["DOCUMENT_COLUMNS", "discard", "fresh_path", "gives_back", "held", "id_crc32", "least_key", "maybe_among", "numbered", "once", "pick", "restored", "result_names", "shared_dir", "spread_join", "steps", "table", "with_place", "written"]
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -51,18 +53,21 @@ def id_crc32(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")))
 
 
-_MADE: dict = {}
+_HELD: list = [None, None, None]
+
+
+def held(kind, source, make):
+    """``make()``, made once in each worker process for this ``source``; only the last such thing is kept."""
+    if _HELD[0] is not kind or _HELD[1] is not source:
+        _HELD[:] = [None, None, None]  # what was held goes before the next is made
+        _HELD[:] = [kind, source, make()]
+    return _HELD[2]
 
 
 def once(spread, make):
-    """``make`` of a broadcast value, made once in each worker process; the last few are kept."""
+    """``make`` of a broadcast value, made once in each worker process."""
     value = spread.value
-    held = _MADE.get((make, id(value)))
-    if held is None or held[0] is not value:
-        if len(_MADE) >= 4:
-            _MADE.pop(next(iter(_MADE)))
-        held = _MADE[make, id(value)] = (value, make(value))
-    return held[1]
+    return held(make, value, lambda: make(value))
 
 
 def result_names(keep, own) -> dict[str, str]:
@@ -97,6 +102,26 @@ def steps(batch, size: int = ROWS_PER_STEP, most_bytes: int = BYTES_PER_STEP):
         yield batch.slice(begin)
 
 
+def gives_back(task):
+    """A function of batches that hands the memory it used back to the system when its task ends.
+
+    Python workers outlive their tasks, and allocators keep what was freed;
+    without this, each operator's peak stays with the worker for the next one.
+    """
+
+    @wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def least_key(kind: T.DataType):
     """What a null key counts as: the least integer, or for any other type (compared as text) the empty text."""
     return -(1 << 63) if isinstance(kind, T.IntegralType) else ""
@@ -143,12 +168,12 @@ def maybe_among(rows: DataFrame, keys: DataFrame, n: int, *columns: str) -> Colu
         held[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.map, np.uint8)
     spread = spark.sparkContext.broadcast(held.tobytes())
 
-    def test(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+    def test(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
         held = np.frombuffer(spread.value, np.uint8)
         hit = np.ones(len(a), np.uint8)
-        for series in (a, b, c):
-            at = series.to_numpy()
+        for places in (a, b, c):
+            at = places.to_numpy(zero_copy_only=False)
             hit &= held[at >> 3] >> (at & 7).astype(np.uint8)
-        return pd.Series((hit & 1).astype(bool))
+        return pa.array((hit & 1).astype(bool))
 
-    return F.pandas_udf(test, "boolean")(*places())
+    return F.arrow_udf(test, "boolean")(*places())

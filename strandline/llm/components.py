@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._common import discard, spread_join, written
+from strandline.llm._common import discard, gives_back, spread_join, written
 
 #: Links that a task holds at a time.
 CHUNK = 1 << 20
@@ -35,6 +35,7 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _forests(links: DataFrame) -> DataFrame:
     """The links of each task, a bounded number at a time, as stars around least nodes."""
 
+    @gives_back
     def reduce(batches):
         held: list = []
 

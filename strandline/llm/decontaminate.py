@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._common import once, pick, result_names, steps, table
+from strandline.llm._common import gives_back, once, pick, result_names, steps, table
 
 #: Word edits allowed for each word of an item.
 ERROR_RATE = 0.2
@@ -183,6 +183,7 @@ def find_items(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: tu
     def pass_over(frame: DataFrame, block) -> DataFrame:
         spread = spark.sparkContext.broadcast((block, rate))
 
+        @gives_back
         def find(batches):
             finder = once(spread, _finder)
             for batch in batches:

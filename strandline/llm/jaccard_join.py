@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm._common import discard, least_key, maybe_among, numbered, pick, restored, spread_join, steps, table, with_place, written
+from strandline.llm._common import discard, gives_back, least_key, maybe_among, numbered, pick, restored, spread_join, steps, table, with_place, written
 from strandline.llm.components import components
 
 WORDS = 5
@@ -172,6 +172,7 @@ def _embedded(rows: DataFrame, paths: Paths) -> DataFrame:
     """Each document's class, by 128 bits of its set, and its tokens where the set can be linked to others."""
     kind = rows.schema["k"].dataType.simpleString()
 
+    @gives_back
     def embed(batches):
         shingler = Shingler()
         for batch in batches:
@@ -191,6 +192,7 @@ def _token_rows(column: pa.Array) -> np.ndarray:
 def _in_buckets(classes: DataFrame, paths: Paths) -> DataFrame:
     """Rows of class c and bucket: every last bucket of classes (c, tokens)."""
 
+    @gives_back
     def deal(batches):
         for batch in batches:
             for part in steps(batch, 1024):
@@ -203,6 +205,7 @@ def _in_buckets(classes: DataFrame, paths: Paths) -> DataFrame:
 def _split_again(members: DataFrame, paths: Paths) -> DataFrame:
     """Rows of class c, bucket and parent: members (bucket, c, tokens) dealt on from their bucket."""
 
+    @gives_back
     def deal(batches):
         for batch in batches:
             for part in steps(batch, 1024):
@@ -218,6 +221,7 @@ def _agreeing(links: DataFrame, tokens: DataFrame, agreement: float) -> DataFram
     """Links whose two classes have enough equal tokens."""
     both = links.join(tokens.toDF("u", "tu"), "u").join(tokens.toDF("v", "tv"), "v")
 
+    @gives_back
     def test(batches):
         for batch in batches:
             keep = pa.array((_token_rows(batch.column(2)) == _token_rows(batch.column(3))).mean(axis=1) >= agreement)
@@ -261,6 +265,7 @@ def _tied_in_blocks(members: DataFrame, agreement: float) -> DataFrame:
     rows = _in_blocks(members, "c", "tokens")
     batch_of = lambda us, vs: pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
+    @gives_back
     def tie(batches):
         us, vs = [], []
 
@@ -394,6 +399,7 @@ def _compared(members: DataFrame, threshold: float) -> DataFrame:
     """
     rows = _in_blocks(members, "c", "m", "t")
 
+    @gives_back
     def compare(batches):
         shingler = Shingler()
         key, group, emit = None, [], []

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._common import id_crc32, once, pick, result_names, steps, table
+from strandline.llm._common import gives_back, id_crc32, once, pick, result_names, steps, table
 
 #: The fit uses about this many labelled texts of each language, chosen by a
 #: hash of the text, and at most so many characters of each ...
@@ -148,6 +148,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
     spread = rows.sparkSession.sparkContext.broadcast(model)
     own = list(result_names(keep, ("lang_pred", "score", "margin", "rejected")).values())
 
+    @gives_back
     def predict(batches):
         classifier = once(spread, Classifier)
         for batch in batches:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._common import discard, maybe_among, pick, spread_join, steps, table, with_place, written
+from strandline.llm._common import discard, gives_back, maybe_among, pick, spread_join, steps, table, with_place, written
 
 #: A repeated run is deleted from this many words on.
 MIN_WORDS = 50
@@ -71,6 +71,7 @@ def _fingerprints(rows: DataFrame, min_words: int) -> DataFrame:
     kind = rows.schema["k"].dataType.simpleString()
     windows_of = pa.list_(pa.struct([("gram", pa.int64()), ("first", pa.int32()), ("end", pa.int32())]))
 
+    @gives_back
     def select(batches):
         for batch in batches:
             for part in steps(batch):
@@ -131,6 +132,7 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_word
     touched = rows.where("maybe").join(gone, ["k", "h"], "left").select(key, text, "runs")
     joined = rows.where("not maybe").select(key, text, F.lit(None).cast(gone.schema["runs"].dataType).alias("runs")).unionByName(touched)
 
+    @gives_back
     def cut(batches):
         for batch in batches:
             for part in steps(batch):

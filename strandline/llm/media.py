@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strandline.llm._common import pick, steps, table
+from strandline.llm._common import gives_back, pick, steps, table
 
 PIXELS = 64
 CHANNELS = 3
@@ -182,6 +182,7 @@ def store_media(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     key and text are not looked at.  An empty table gives an empty result.
     """
 
+    @gives_back
     def encode(batches):
         for batch in batches:
             for part in steps(batch):
@@ -203,6 +204,7 @@ def media_features(df: DataFrame, key: str = "doc_id") -> DataFrame:
     images give equal results, and an empty table gives an empty one.
     """
 
+    @gives_back
     def decode(batches):
         for batch in batches:
             for part in steps(batch):

@@ -20,6 +20,8 @@ from collections import Counter
 from collections.abc import Callable, Iterable
 from contextlib import contextmanager
 
+from strandline.llm._common import held
+
 #: Characters whose class (letter, digit, space, other) is the same everywhere.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _ODD = re.compile(r"[^\n\r\t -~À-ɏ]")
@@ -104,9 +106,6 @@ class _Classes(dict):
         return self[code]
 
 
-_SHARED: dict[str, Encoder] = {}
-
-
 class Encoder:
     """``value`` makes something of a list of ids; a text's value is its list of parts."""
 
@@ -128,10 +127,7 @@ class Encoder:
     @classmethod
     def shared(cls, path: str) -> Encoder:
         """This worker's encoder to id bytes: tasks that follow find its caches filled."""
-        if path not in _SHARED:
-            _SHARED.clear()
-            _SHARED[path] = cls(path, id_bytes)
-        return _SHARED[path]
+        return held(cls, sys.intern(path), lambda: cls(path, id_bytes))
 
     def pre_tokens(self, text: str) -> list[str]:
         if _ODD.search(text) is None:

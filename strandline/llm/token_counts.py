@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._common import once, pick, steps, table
+from strandline.llm._common import gives_back, once, pick, steps, table
 from strandline.llm.pretokens import Encoder, without_collector
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -36,6 +36,7 @@ def frequent_pre_tokens(rows: DataFrame, path: str, partitions: int = SAMPLE_PAR
     """
     column = rows.columns[-1]
 
+    @gives_back
     def count(batches):
         seen, left, cut = Counter(), per_partition, Encoder(path, len).pre_tokens
         for batch in batches:
@@ -81,6 +82,7 @@ def count_tokens(df: DataFrame, text: str = "text", key: str = "doc_id", vocabul
     rows = pick(df, key, text)
     spread = rows.sparkSession.sparkContext.broadcast((path, frequent_pre_tokens(rows, path)))
 
+    @gives_back
     def count(batches):
         encoder = once(spread, _encoder)
         for batch in batches:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm._common import fresh_path, pick, steps, table
+from strandline.llm._common import fresh_path, gives_back, pick, steps, table
 from strandline.llm.pretokens import Encoder, id_bytes, without_collector
 from strandline.llm.simple8b import Unit, pack_unit
 
@@ -43,6 +43,7 @@ def write_token_files(df: DataFrame, path: str, text: str = "text", key: str = "
     rows = rows.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.monotonically_increasing_id().alias("nth"))
     place = ("k", F.xxhash64(F.coalesce("t", F.lit(""))), "nth")
 
+    @gives_back
     def encode(batches):
         encoder = Encoder.shared(vocabulary)
         end = id_bytes([end_id])
@@ -88,6 +89,7 @@ def _decoded(spark: SparkSession, path: str, key: str, digest: bool) -> DataFram
     shards = sorted(sizes)
     begins = dict(zip(shards, accumulate([0, *(sizes[s] for s in shards)]), strict=False))
 
+    @gives_back
     def decode(batches):
         for batch in batches:
             for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._common import discard, id_crc32, once, pick, steps, table, written
+from strandline.llm._common import discard, gives_back, id_crc32, once, pick, steps, table, written
 
 #: The fit uses about this many labelled documents of either label.
 SAMPLE_PER_LABEL = 3_000
@@ -166,6 +166,7 @@ def _sampled(documents: DataFrame, labels: DataFrame, per_label: int) -> DataFra
 def _counted(sample: DataFrame, terms) -> DataFrame:
     """Toxic and clean documents of each term, counted in the tasks first."""
 
+    @gives_back
     def count(batches):
         toxic, clean = Counter(), Counter()
         for batch in batches:
@@ -210,6 +211,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LAB
     excepted = _counted(sample, phrases).where((F.col("c") >= EXCEPTION_DOCUMENTS) & ((F.col("c") + 0.5) / (clean + 1.0) >= EXCEPTION_ODDS * (F.col("a") + 0.5) / (toxic + 1.0)))
     lexicon.exceptions = tuple(sorted(r.term for r in excepted.orderBy(F.desc("c"), "term").limit(MAX_EXCEPTIONS).collect()))
 
+    @gives_back
     def evidence(batches):
         matcher = Matcher(lexicon)
         for batch in batches:
@@ -269,6 +271,7 @@ def score_toxicity(df: DataFrame, lexicon: Lexicon, text: str = "text", key: str
     rows = pick(df, key, text)
     spread = rows.sparkSession.sparkContext.broadcast(lexicon)
 
+    @gives_back
     def score(batches):
         matcher = once(spread, Matcher)
         for batch in batches:
