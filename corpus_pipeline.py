@@ -15,6 +15,9 @@ from strandline.llm.langid import fitted, identify
 from strandline.llm.mixing import mixed_rows
 from strandline.llm.token_files import token_file_digests
 
+#: Workers that earlier stages have used keep some of their memory, so their caches are small here.
+CACHE_ENTRIES = 50_000
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; null texts, those without letters or with too narrow a margin go.
@@ -52,7 +55,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's place in the token files, and a digest of its ids read back; a null text has the end id only."""
-    return token_file_digests(docs)
+    return token_file_digests(docs, cache_entries=CACHE_ENTRIES)
 
 
 STAGES = [

@@ -109,7 +109,7 @@ class _Classes(dict):
 class Encoder:
     """``value`` makes something of a list of ids; a text's value is its list of parts."""
 
-    def __init__(self, path: str, value: Callable, frequent: Iterable[tuple[str, object]] | None = None):
+    def __init__(self, path: str, value: Callable, frequent: Iterable[tuple[str, object]] | None = None, entries: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -119,15 +119,15 @@ class Encoder:
         self._whole = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
         self._classes = _Classes(self.tokenizer.pre_tokenizer.pre_tokenize_str)
         self._model = self.tokenizer.model.tokenize
-        self.cache = WorkerCache(self._pre_token)
+        self.cache = WorkerCache(self._pre_token, entries)
         self.known = FrequentFirst(frequent, self.cache) if frequent is not None else self.cache
         self._seen: Counter | None = Counter() if frequent is None else None
         self._texts = 0
 
     @classmethod
-    def shared(cls, path: str) -> Encoder:
+    def shared(cls, path: str, entries: int = CACHE_ENTRIES) -> Encoder:
         """This worker's encoder to id bytes: tasks that follow find its caches filled."""
-        return held(cls, sys.intern(path), lambda: cls(path, id_bytes))
+        return held(cls, sys.intern(f"{entries} {path}"), lambda: cls(path, id_bytes, entries=entries))
 
     def pre_tokens(self, text: str) -> list[str]:
         if _ODD.search(text) is None:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm._common import fresh_path, gives_back, pick, steps, table
-from strandline.llm.pretokens import Encoder, id_bytes, without_collector
+from strandline.llm.pretokens import CACHE_ENTRIES, Encoder, id_bytes, without_collector
 from strandline.llm.simple8b import Unit, pack_unit
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -28,7 +28,7 @@ END_ID = 2
 UNIT_IDS = 1 << 18
 
 
-def write_token_files(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", vocabulary: str | None = None, end_id: int = END_ID) -> None:
+def write_token_files(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", vocabulary: str | None = None, end_id: int = END_ID, cache_entries: int = CACHE_ENTRIES) -> None:
     """Encode each text, add the end id, and write units in ascending key order.
 
     Keys are integers (other types must cast to long).  Null keys come first;
@@ -36,6 +36,8 @@ def write_token_files(df: DataFrame, path: str, text: str = "text", key: str = "
     write the same ids in the same order, and repeated rows may be dealt to
     several shards.  A null or empty text has the end id only; a very long one
     is never split.  An empty table writes a table without units.
+    ``cache_entries`` bounds each half of a worker's cache: fewer take less
+    memory and more encoding, and change no id.
     """
     vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
     rows = pick(df, key, text)
@@ -45,7 +47,7 @@ def write_token_files(df: DataFrame, path: str, text: str = "text", key: str = "
 
     @gives_back
     def encode(batches):
-        encoder = Encoder.shared(vocabulary)
+        encoder = Encoder.shared(vocabulary, cache_entries)
         end = id_bytes([end_id])
         shard, unit, before = TaskContext.get().partitionId(), 0, 0
         keys, lengths, parts, size = [], [], [], 0
