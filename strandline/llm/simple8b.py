@@ -30,10 +30,14 @@ _HEAD = struct.Struct("<4sHHIQQIIq")
 
 
 _COUNTS = np.array([c for c, _ in LAYOUT] + [1], np.int64)
+#: Bits of each number below 65,536, which are the ids of all usual vocabularies.
+_WIDTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.int8)
 
 
 def _width(ids: np.ndarray) -> np.ndarray:
     """Bits that each id needs; 0 for zero."""
+    if len(ids) and int(ids.max()) < len(_WIDTHS):
+        return _WIDTHS[ids.astype(np.intp)]
     if not len(ids) or int(ids.max()) < 1 << 52:
         return np.frexp(ids.astype(np.float64))[1].astype(np.int8)
     out = np.zeros(len(ids), np.int8)
@@ -57,7 +61,7 @@ def _selectors(ids: np.ndarray, block: int) -> np.ndarray:
     # From few ids to many, so that each window's maximum grows from a shorter one.
     for selector in range(len(LAYOUT) - 1, -1, -1):
         count, bits = LAYOUT[selector]
-        if (width <= bits).sum() < count:
+        if np.count_nonzero(width <= bits) < count:
             break  # wider words need even smaller ids
         while reach < count:
             step = min(reach, count - reach)
@@ -66,7 +70,7 @@ def _selectors(ids: np.ndarray, block: int) -> np.ndarray:
         fits = widest <= bits
         if count > 1:
             fits &= room >= count
-        np.putmask(best, fits, selector)
+        best -= fits  # what fits a selector fits all those after it, so this counts down to the first
     return best
 
 
@@ -83,13 +87,13 @@ def encode_words(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.nd
     best = _selectors(ids, block)
     at = np.arange(0, n, block)
     end = np.minimum(at + block, n)
-    chains = []
+    begins = np.zeros(n, bool)
     while len(at):
-        chains.append(at)
+        begins[at] = True
         at = at + _COUNTS[best[at]]
         live = at < end
         at, end = at[live], end[live]
-    starts = np.sort(np.concatenate(chains))
+    starts = np.flatnonzero(begins)
     chosen = best[starts].astype(np.int64)
     escaped = chosen == ESCAPE
     place = np.arange(len(starts)) + np.cumsum(escaped) - escaped

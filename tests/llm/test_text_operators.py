@@ -4,6 +4,7 @@ import binascii
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -148,6 +149,21 @@ def test_rare_characters_use_the_caches(tokenizer):
     assert "Привет" in encoder.cache and " мир" in encoder.cache and len(encoder.cache) > 20
 
 
+def test_cached_pre_tokens_need_no_python_call(tokenizer):
+    ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    encoder = pretokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), list, [(" the", ids(" the"))])
+    text = "".join(f" the été{i} w{i}" for i in range(300))
+    for _ in range(2):  # the second time every pre-token is known
+        calls = []
+        sys.setprofile(lambda frame, event, arg, calls=calls: calls.append(frame.f_code.co_name) if event == "call" else None)
+        try:
+            parts = encoder.parts(text)
+        finally:
+            sys.setprofile(None)
+        assert [i for part in parts for i in part] == ids(text)
+    assert "__missing__" not in calls and len(calls) < 10
+
+
 def test_token_counts(docs, tokenizer):
     got = by_text(token_counts.count_tokens(docs, limit=5).collect())
     want = [(k, len((t or "").encode()), n := len(tokenizer.encode(t or "", add_special_tokens=False).ids), n > 5) for k, t, *_ in ROWS]
@@ -168,6 +184,13 @@ def test_simple8b_round_trip(kind):
             assert (unit.block_ids(b) == ids[b * simple8b.BLOCK : (b + 1) * simple8b.BLOCK]).all()
 
 
+def test_simple8b_widths():
+    small = [0, 1, 2, 3, 255, 256, 50_256, (1 << 16) - 1]
+    for more in ([], [1 << 16], [(1 << 52) - 1], [1 << 52, (1 << 64) - 1]):
+        ids = np.array(small + more, np.uint64)
+        assert simple8b._width(ids).tolist() == [int(i).bit_length() for i in ids]
+
+
 def test_simple8b_damage_is_noticed():
     data = bytearray(simple8b.pack_unit([1], [3], np.array([1, 2, 3], np.uint64), 0))
     data[-10] ^= 1
