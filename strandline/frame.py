@@ -43,6 +43,13 @@ class OrderedFrame:
     def sofar(self) -> WindowSpec:
         return self.window().rowsBetween(W.unboundedPreceding, 0)
 
+    def onwards(self) -> WindowSpec:
+        """Each row and all behind it, nearest last: the order reversed, since the engine runs
+        frames that grow in one pass, but starts anew at each row of those that shrink."""
+        if not self.order_by:
+            raise ValueError("this operator needs order_by")
+        return W.partitionBy(*self.partition_by).orderBy(*[F.desc_nulls_last(c) for c in self.order_by]).rowsBetween(W.unboundedPreceding, 0)
+
     def mapped(self, make, keep: str | None = None) -> DataFrame:
         """All columns in place, value columns replaced by ``make(name)``, in one select."""
         wanted = set(self.columns)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.frame import NUMERIC, OrderedFrame
@@ -35,18 +34,18 @@ def filled(frame: OrderedFrame, c: str, method: str, limit: int | None = None) -
     numeric = isinstance(frame.df.schema[c].dataType, NUMERIC)
     x = known(c) if numeric else F.col(c)
     if method in _FORWARD:
-        w, last = frame.sofar(), F.last
+        near = frame.sofar()
     elif method in _BACKWARD:
-        w, last = frame.window().rowsBetween(0, W.unboundedFollowing), F.first
+        near = frame.onwards()
     else:
         raise ValueError(f"unknown fill method {method!r}")
-    value = last(x, ignorenulls=True).over(w)
     if limit is None:
-        return value
+        return F.last(x, ignorenulls=True).over(near)
     if limit < 1:
         raise ValueError("limit must be positive")
-    near = frame.window().rowsBetween(-limit, 0) if method in _FORWARD else frame.window().rowsBetween(0, limit)
-    return last(x, ignorenulls=True).over(near)
+    if method in _FORWARD:
+        return F.last(x, ignorenulls=True).over(frame.window().rowsBetween(-limit, 0))
+    return F.first(x, ignorenulls=True).over(frame.window().rowsBetween(0, limit))
 
 
 def _filled_frame(frame: OrderedFrame, method: str, limit: int | None) -> DataFrame:

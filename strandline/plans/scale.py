@@ -189,9 +189,8 @@ def with_filled(dealt: Dealt, method: str, prefix: str) -> Dealt:
         held = [new if new is not None else old for new, old in zip(r[1:], held, strict=True)]
     schema = ", ".join(f"_edge{i} {'double' if isinstance(k, NUMERIC) else k.simpleString()}" for i, k in enumerate(kinds))
     df = dealt.carried(rows, schema)
-    w = inner.sofar() if forward else inner.window().rowsBetween(0, W.unboundedFollowing)
-    own = F.last if forward else F.first
-    made = [F.coalesce(own(value(c, k), ignorenulls=True).over(w), F.col(f"_edge{i}")).alias(prefix + c) for i, (c, k) in enumerate(zip(frame.columns, kinds, strict=True))]
+    w = inner.sofar() if forward else inner.onwards()
+    made = [F.coalesce(F.last(value(c, k), ignorenulls=True).over(w), F.col(f"_edge{i}")).alias(prefix + c) for i, (c, k) in enumerate(zip(frame.columns, kinds, strict=True))]
     return replace(dealt, inner=replace(inner, df=df.select(*inner.df.columns, *made)))
 
 
