@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.missing import change, divided, known
-from strandline.operators.udf import row_batches
+from strandline.operators.udf import cell_batches, row_batches
 
 #: More columns than this are handled as an array.
 WIDE = 24
@@ -117,18 +117,12 @@ class Row:
         return F.transform(self.values, lambda v, i: v - self._back(i, periods))
 
     @staticmethod
-    def _framed(frame: Row, statistic: str, least: int, ddof: int, q: float) -> Column:
+    def _framed(frame: Row, statistic: str, least: int, q: float) -> Column:
         """One window's statistic, as rolling windows have it."""
-        n = frame.count()
-        options = {"ddof": ddof} if statistic in ("std", "var", "sem") else {"q": q} if statistic == "quantile" else {}
-        value = getattr(frame, statistic)(**options)
-        if statistic == "sem":
-            value = divided(frame.std(ddof), F.sqrt(F.when(n > ddof, n - ddof)))
-        if statistic == "kurt":
-            value = F.when((n >= 4) & (frame.var() == 0), -3.0).otherwise(value)
+        value = getattr(frame, statistic)(**({"q": q} if statistic == "quantile" else {}))
         if statistic == "sum" and least == 0:
             return value
-        return F.when(n >= max(least, 1), value)
+        return F.when(frame.count() >= max(least, 1), value)
 
 
 class Matrix(Row):
@@ -186,6 +180,42 @@ def _changes(frame: pd.DataFrame, periods: int) -> pd.DataFrame:
     return pd.DataFrame(np.where((old == 0) & ~np.isnan(new), np.where(new == 0, np.nan, np.copysign(np.inf, new)), out))
 
 
+#: Statistics that look at the mean first: as expressions too large to compile, and the engine then interprets them.
+_CENTRAL = ("var", "std", "sem", "skew", "kurt")
+
+
+def _central_values(cells: list[np.ndarray], statistic: str, least: int, ddof: int = 1, windows: bool = True) -> np.ndarray:
+    """A statistic along each row of many, NaN where there is none; sem and kurt as rolling windows or reductions have them."""
+    with np.errstate(all="ignore"):
+        seen = [~np.isnan(c) for c in cells]
+        n = sum(s.astype(np.float64) for s in seen)
+        if statistic in ("var", "std", "sem"):
+            # Value by value, as databases do it: the same last bits decide ties of rounding.
+            so_far, mean, s2 = (np.zeros(len(n)) for _ in range(3))
+            for s, c in zip(seen, cells, strict=True):
+                so_far = so_far + s
+                new = mean + (c - mean) / so_far
+                s2 = np.where(s, s2 + (c - new) * (c - mean), s2)
+                mean = np.where(s, new, mean)
+            out = s2 / np.where(n > ddof, n - ddof, np.nan)
+            out = out if statistic == "var" else np.sqrt(out)
+            out = out / np.sqrt(n - ddof if windows else n) if statistic == "sem" else out
+        else:
+            mean = sum(np.where(s, c, 0.0) for s, c in zip(seen, cells, strict=True)) / n
+            off = [np.where(s, c - mean, 0.0) for s, c in zip(seen, cells, strict=True)]
+            m2 = sum(d * d for d in off)
+            low, high = (pick.reduce([np.where(s, c, none) for s, c in zip(seen, cells, strict=True)]) for pick, none in ((np.minimum, np.inf), (np.maximum, -np.inf)))
+            flat = (m2 == 0) | ((low == high) & np.isfinite(low))
+            if statistic == "skew":
+                least = max(least, 3)
+                out = np.where(flat, 0.0, n * np.sqrt(n - 1) * sum(d * d * d for d in off) / ((n - 2) * (m2 * np.sqrt(m2))))
+            else:
+                least = max(least, 4)
+                rest = (n - 2) * (n - 3)
+                out = np.where(flat, -3.0 if windows else 0.0, n * (n + 1) * (n - 1) * sum(d * d * d * d for d in off) / (rest * m2 * m2) - 3 * (n - 1) * (n - 1) / rest)
+        return np.where(n >= max(least, 1), out, np.nan)
+
+
 def _total(terms: list[Column]) -> Column:
     out = terms[0]
     for t in terms[1:]:
@@ -234,16 +264,24 @@ class Cells(Row):
             out = out * F.coalesce(c, F.lit(1.0))
         return self._gate(out, skipna)
 
-    def _central(self, power: int) -> Column:
-        m, terms = divided(self.sum(), self.count()), []
-        for c in self.cells:
-            d = c - m
-            terms.append(F.coalesce({2: d * d, 3: d * d * d, 4: d * d * d * d}[power], F.lit(0.0)))
-        return _total(terms)
+    def _around_mean(self, statistic: str, ddof: int, skipna: bool) -> Column:
+        made = cell_batches(lambda cells: _central_values(cells, statistic, 1, ddof, windows=False), False)(*self.cells)
+        return self._gate(made, skipna)
 
     def var(self, ddof: int = 1, skipna: bool = True) -> Column:
-        n = self.count()
-        return self._gate(F.when(n > ddof, divided(self._central(2), n - ddof)), skipna)
+        return self._around_mean("var", ddof, skipna)
+
+    def std(self, ddof: int = 1, skipna: bool = True) -> Column:
+        return self._around_mean("std", ddof, skipna)
+
+    def sem(self, ddof: int = 1, skipna: bool = True) -> Column:
+        return self._around_mean("sem", ddof, skipna)
+
+    def skew(self, skipna: bool = True) -> Column:
+        return self._around_mean("skew", 1, skipna)
+
+    def kurt(self, skipna: bool = True) -> Column:
+        return self._around_mean("kurt", 1, skipna)
 
     def min(self, skipna: bool = True) -> Column:
         return self._gate(_least(self.cells), skipna)
@@ -353,17 +391,22 @@ class Cells(Row):
 
     def rolling(self, window: int, statistic: str, min_periods: int | None = None, center: bool = False, ddof: int = 1, q: float = 0.5) -> Column:
         """A rolling statistic along the row; infinities count as missing, as in all windows."""
-        if statistic in ("skew", "kurt"):  # as expressions too large to compile
-            return Matrix(self.values).rolling(window, statistic, min_periods, center, ddof, q)
         least = window if min_periods is None else min_periods
         shift, k, out = (window - 1) // 2 if center else 0, len(self.cells), []
+        spans = [(max(i + 1 - window + shift, 0), min(i + shift, k - 1)) for i in range(k)]
+        if statistic in _CENTRAL:
+
+            def operate(cells: list[np.ndarray]) -> list[np.ndarray]:
+                held = [np.where(np.isinf(c), np.nan, c) for c in cells]
+                return [_central_values(held[low : high + 1], statistic, least, ddof) if high >= low else np.full(len(held[0]), np.nan) for low, high in spans]
+
+            return cell_batches(operate, True)(*self.cells)
         clean = [F.when(F.abs(c) != float("inf"), c) for c in self.cells]
-        for i in range(k):
-            low, high = max(i + 1 - window + shift, 0), min(i + shift, k - 1)
+        for low, high in spans:
             if statistic == "count":
                 out.append(Cells(self.cells[low : high + 1]).count() if high - low + 1 >= least else _none())
                 continue
-            out.append(self._framed(Cells(clean[low : high + 1]), statistic, least, ddof, q) if high >= low else _none())
+            out.append(self._framed(Cells(clean[low : high + 1]), statistic, least, q) if high >= low else _none())
         return F.array(*out)
 
 

@@ -5,6 +5,7 @@ This module has no postponed annotations: pandas UDFs read their types.
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,6 +58,23 @@ def row_batches(func):
     return lambda values: F.transform(call(values), lambda v: F.when(~F.isnan(v), v))
 
 
+def cell_batches(func, shaped: bool):
+    """A function of a list of float arrays, one for each column (missing: NaN), as a function of columns.
+
+    It gives one float array, or if ``shaped`` a list of them, the elements of
+    an array column.  Batches stay in Arrow's layout: no step is taken row by row.
+    """
+
+    def batch(*cells: pa.Array) -> pa.Array:
+        made = func([c.to_numpy(zero_copy_only=False) for c in cells])
+        if not shaped:
+            return pa.array(made, pa.float64(), from_pandas=True)
+        values = pa.array(np.column_stack(made).ravel(), pa.float64(), from_pandas=True)
+        return pa.ListArray.from_arrays(np.arange(0, len(values) + 1, len(made), dtype=np.int32), values)
+
+    return F.arrow_udf(batch, "array<double>" if shaped else "double")
+
+
 def vectorized(func):
     """Decorator: a numpy function of whole batches of a column as a column function."""
 

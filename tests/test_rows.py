@@ -86,3 +86,20 @@ def test_many_columns(spark):
     np.testing.assert_allclose(cells("rank"), pdf.rank(axis=1))
     np.testing.assert_allclose(cells("roll"), pdf.T.rolling(7, min_periods=2).median().T)
     np.testing.assert_allclose(got["mean"], pdf.mean(axis=1))
+
+
+@pytest.mark.parametrize("statistic", ["var", "std", "sem", "skew", "kurt"])
+def test_central_statistics_of_columns(spark, statistic):
+    """In batches: as expressions they were too large to compile.  Constants are flat also where their mean is not exact."""
+    pdf = pd.DataFrame([[0.1, 0.1, 0.1, 0.1, 0.1], [1.0, np.nan, 4.0, 2.0, 9.0], [np.nan] * 5, [3.0, np.inf, 1.0, 5.0, 2.5], [-10.0, 1.0, 2.0, np.nan, 4.0]], columns=list("abcde"))
+    df = spark.createDataFrame(pdf.assign(i=range(len(pdf)))).repartition(2)
+    r = rowwise.row(list("abcde"))
+    found = df.select("i", r.rolling(4, statistic, 2, center=True).alias("roll"), getattr(r, statistic)().alias("whole"))
+    plan = found._jdf.queryExecution().optimizedPlan()
+    assert len(plan.toString()) < 5000
+    got = found.orderBy("i").collect()
+    cells = np.array([[np.nan if x is None else x for x in row.roll] for row in got], float)
+    clean = pdf.replace(np.inf, np.nan)
+    np.testing.assert_allclose(cells, getattr(clean.T.rolling(4, min_periods=2, center=True), statistic)().T, rtol=1e-8, atol=1e-9)
+    whole = getattr(clean, statistic)(axis=1).where(~np.isinf(pdf).any(axis=1))
+    np.testing.assert_allclose(np.array([np.nan if row.whole is None else row.whole for row in got], float), whole, rtol=1e-8, atol=1e-9)
